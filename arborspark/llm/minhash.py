@@ -1,10 +1,11 @@
 """MinHash near-duplicates with bottom-k sketches from one hash function.
 
 1. Every text becomes the set of its hashed word n-grams; its ``k`` smallest hashes are its sketch.
-2. Inverted lists of retained values generate candidates.  A pair whose estimate reaches ``threshold - slack``
-   shares at least ``ceil((threshold - slack) * size)`` values, so indexing only the rarest
-   ``size - that + 1`` values of each sketch still brings the two together: a value that very many documents
-   retain, such as one of a shared passage, is indexed only for documents made of little else.
+2. Inverted lists of retained values generate overlaps.  A pair whose estimate reaches ``threshold - slack``
+   shares at least o = ``ceil((threshold - slack) * size)`` values, so among the rarest ``size - o + common`` values
+   of each sketch the two share ``common`` (or o, if less): only these are indexed, and fewer overlaps don't make a
+   candidate.  A value that very many documents retain, such as one of a shared passage, is thus indexed only
+   for documents made of little else.
 3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.
 4. The exact Jaccard similarity of the full n-gram sets verifies.
 
@@ -128,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, k: int = 64, threshold: float = 0.6, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, k: int = 64, threshold: float = 0.6, slack: float = 0.2, common: int = 4) -> DataFrame:
     """Groups of near-duplicate documents: (doc_id, group_id, group_size, is_kept), one row for each member.
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams (lower case, without ASCII
@@ -151,11 +152,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = sketches.join(first.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "size", "sketch")
 
     rows = kept.select("doc_id", "size", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    common = rows.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("df > 1")
-    per_doc = common.groupBy("doc_id", "size", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
+    repeated = rows.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("df > 1")
+    per_doc = repeated.groupBy("doc_id", "size", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     # values that no other document retains are the rarest: they stand first and take up places
-    place = F.col("m") - F.ceil(F.lit(floor) * F.col("m") - 1e-9) + 1 - (F.col("m") - F.size("values"))
-    index = per_doc.withColumn("place", place.cast("int")).filter("place > 0").select("doc_id", "size", F.explode(F.slice("values", 1, F.col("place"))).alias("x")).select("doc_id", "size", F.col("x.v").alias("v"))
+    overlap = lambda m: F.ceil(F.lit(floor) * m - 1e-9)
+    least = lambda m: F.least(F.lit(common), overlap(m))
+    place = F.col("m") - overlap(F.col("m")) + least(F.col("m")) - (F.col("m") - F.size("values"))
+    index = per_doc.withColumn("place", place.cast("int")).filter("place > 0").select("doc_id", "size", "m", F.explode(F.slice("values", 1, F.col("place"))).alias("x")).select("doc_id", "size", "m", F.col("x.v").alias("v"))
     index = shared_table(index, "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -171,20 +174,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         jaccard = shared / (F.size("sa") + F.size("sb") - shared)
         return cut(estimated.join(left, "a").join(right, "b").filter(jaccard >= threshold).select("a", "b").distinct())
 
-    smallest = index.withColumn("a", F.min("doc_id").over(W.partitionBy("v"))).withColumn("na", F.min_by("size", "doc_id").over(W.partitionBy("v")))
     fits = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    star = cut(smallest.filter("a < doc_id").filter(fits("na", "size")).select("a", F.col("doc_id").alias("b")).distinct())
+    candidates = lambda pairs: pairs.groupBy("a", "b", "m").count().filter(F.col("count") >= least(F.col("m"))).select("a", "b")
+    smallest = index.withColumn("first", F.min(F.struct("doc_id", "size", "m")).over(W.partitionBy("v"))).filter("first.doc_id < doc_id").filter(fits("first.size", "size"))
+    star = cut(candidates(smallest.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.greatest("m", "first.m").alias("m"))))
     links = verified(star)
     groups = components(links)
 
-    member = index.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", "size", F.coalesce("component", "doc_id").alias("c"))
+    member = index.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", "size", "m", F.coalesce("component", "doc_id").alias("c"))
     member = member.withColumn("n_c", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
     by_list = W.partitionBy("v")
     member = member.withColumn("lo", F.min("c").over(by_list)).withColumn("hi", F.max("c").over(by_list)).withColumn("big", F.max(F.struct("n_c", "c")).over(by_list)["c"]).filter("lo <> hi")
     # of any two members in different components, one at least is outside the list's largest component
-    x = member.filter("c <> big").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"))
-    y = member.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"))
-    across = x.join(y, "v").filter("cx <> cy").filter(fits("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = member.filter("c <> big").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("m").alias("mx"))
+    y = member.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("m").alias("my"), F.col("big").alias("by"))
+    # and where both are, the pair meets twice in the join and counts once
+    met = x.join(y, "v").filter("cx <> cy and (cy = by or x < y)").filter(fits("nx", "ny"))
+    across = candidates(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("mx", "my").alias("m")))
     more = verified(across.join(star, ["a", "b"], "left_anti"))
     groups = components(links.union(more)).withColumnRenamed("node", "first").withColumnRenamed("component", "c")
 
