@@ -118,12 +118,12 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", thresh
     own = scored.groupBy("path").agg(F.min(F.struct((-F.col("c")).alias("c"), "licence")).alias("best"))
     own = cut(own.select("path", F.col("best.licence").alias("licence"), F.floor(-F.col("best.c") * 1_000_000).cast("bigint").alias("score")))
 
-    parent = F.substring_index("path", "/", F.size(F.split("path", "/")) - 1)
+    parent = F.regexp_replace("path", r"/?[^/]*\z", "")
     homes = own.filter(is_licence).select(parent.alias("directory"), F.struct((-F.col("score")).alias("score"), "licence").alias("best")).groupBy("directory").agg(F.min("best").alias("best"))
     paths = docs.select("path").distinct()
     directories = paths.filter("path is not null").select(parent.alias("home")).distinct()
     depth = F.when(F.col("home") == "", 0).otherwise(F.size(F.split("home", "/")))
-    above = directories.select("home", F.explode(F.sequence(F.lit(0), depth)).alias("n")).select("home", "n", F.when(F.col("n") == 0, "").otherwise(F.substring_index("home", "/", F.col("n"))).alias("directory"))
+    above = directories.select("home", F.explode(F.sequence(F.lit(0), depth)).alias("n")).select("home", "n", F.expr("substring_index(home, '/', n)").alias("directory"))
     nearest = above.join(homes, "directory").groupBy("home").agg(F.max_by(F.struct("directory", "best"), "n").alias("near"))
     files = paths.withColumn("home", parent).join(own.withColumnRenamed("path", "own_path"), F.col("path").eqNullSafe(F.col("own_path")), "left")
     files = files.join(nearest, "home", "left")
