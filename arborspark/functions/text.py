@@ -76,9 +76,15 @@ def preview_lines(text: Column) -> Column:
     return _breaks(text) + 1
 
 
+def _one_decimal(n: Column, unit: int) -> Column:
+    """``n / unit`` with one decimal, rounded by the fraction's exact binary value and upwards where that is a tie (.25 and .75)."""
+    tie = (n % unit).isin(unit // 4, unit * 3 // 4)
+    return F.replace(F.format_number(F.when(tie, n + unit // 20).otherwise(n) / F.lit(float(unit)), 1), F.lit(","), F.lit(""))
+
+
 def short_number(n: Column) -> Column:
     """1.2M from a million, 12.3K from ten thousand, else the number with separators."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 10_000, F.format_string("%.1fK", n / 1e3)).otherwise(F.format_number(n, 0))
+    return F.when(n >= 1_000_000, F.concat(_one_decimal(n, 1_000_000), F.lit("M"))).when(n >= 10_000, F.concat(_one_decimal(n, 1000), F.lit("K"))).otherwise(F.format_number(n, 0))
 
 
 def metrics(text: Column, size: Column) -> dict[str, Column]:

@@ -51,7 +51,7 @@ def ascii_tree(nodes: DataFrame, root: str, *by: str) -> DataFrame:
     """(…by, tree): the rendered tree of each project under a root label; a project without nodes has no row."""
     lines = pre_order(ascii_lines(nodes, *by), *by)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("preorder", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(*by).agg(F.concat(F.lit(f"{root}:\n\n"), body, F.lit("\n")).alias("tree"))
+    return lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit(f"{root}:\n\n"), body, F.lit("\n")).alias("tree")).filter("n > 0").drop("n")
 
 
 def directory_rows(nodes: DataFrame, *by: str) -> DataFrame:

@@ -47,7 +47,8 @@ class Options:
     smart_everywhere: bool = field(default=False)
 
 
-FALSE = F.lit(False)
+def _false() -> Column:
+    return F.lit(False)
 
 
 def _case(branches: Sequence[tuple[Column, Column]], default: Column) -> Column:
@@ -68,10 +69,10 @@ def is_ignored(rules: Sequence[IgnoreRule], rel: Column, name: Column, is_dir: C
         target = name if rule.by_name else F.when(is_dir, F.concat(rel, F.lit("/"))).otherwise(rel) if rule.dir_only else rel
         return target.rlike(rule.pattern())
 
-    matched = _case([(hit(r), F.lit(not r.negated)) for r in reversed(rules)], FALSE)
+    matched = _case([(hit(r), F.lit(not r.negated)) for r in reversed(rules)], _false())
     if any(r.negated for r in rules):
         return matched
-    probe = FALSE
+    probe = _false()
     for r in rules:
         if not (r.dir_only or r.by_name):
             probe = probe | F.concat(rel, F.lit("/_")).rlike(r.pattern())
@@ -80,11 +81,11 @@ def is_ignored(rules: Sequence[IgnoreRule], rel: Column, name: Column, is_dir: C
 
 def may_traverse(rules: Sequence[IgnoreRule], rel: Column) -> Column:
     """Whether an ignored directory may still hold entries that a negation brings back."""
-    by_dir = FALSE
+    by_dir = _false()
     for r in rules:
         if r.dir_only and not r.negated:
             by_dir = by_dir | F.concat(rel, F.lit("/")).rlike(r.pattern())
-    out = FALSE
+    out = _false()
     inside = F.concat(rel, F.lit("/"))
     for r in rules:
         if not r.negated:
@@ -120,9 +121,9 @@ def _scoped(options: Options, path: Column, of: callable) -> Column:
     branches = []
     for scope in sorted(options.scopes, key=lambda s: (-len(s.root), s.root)):
         rel = path if scope.root == "" else path.substr(F.lit(len(scope.root) + 2), F.length(path))
-        value = of(scope.rules, rel) if scope.rules else FALSE
+        value = of(scope.rules, rel) if scope.rules else _false()
         branches.append((in_scope(path, scope.root), (rel != "") & value))
-    return _case(branches, FALSE)
+    return _case(branches, _false())
 
 
 def git_ignored(options: Options, path: Column, is_dir: Column) -> Column:
@@ -136,7 +137,7 @@ def git_traversable(options: Options, path: Column) -> Column:
 def smart_applies(options: Options, path: Column) -> Column:
     """Everywhere without scopes, else inside any of them."""
     if not options.use_smart:
-        return FALSE
+        return _false()
     inside = F.lit(not options.scopes)
     for scope in options.scopes:
         inside = inside | in_scope(path, scope.root)
@@ -155,7 +156,7 @@ def skips_directory(options: Options, path: Column) -> Column:
 
 def skips_file(options: Options, path: Column) -> Column:
     name = paths.name(path)
-    skip = git_ignored(options, path, FALSE)
+    skip = git_ignored(options, path, _false())
     if options.smart_files:
         skip = skip | (smart_applies(options, path) & F.lower(name).isin(*sorted(x.lower() for x in options.smart_files)))
     if options.dot_files or options.hidden_files:
@@ -170,7 +171,7 @@ def allowed_extension(options: Options, name: Column) -> Column:
     if options.extensions is None:
         return F.lit(True)
     known = sorted(x.upper() for x in options.extensions)
-    return paths.is_extensionless(name) | (F.upper(paths.extension(name)).isin(*known) if known else FALSE)
+    return paths.is_extensionless(name) | (F.upper(paths.extension(name)).isin(*known) if known else _false())
 
 
 def allowed_root(options: Options, path: Column, is_dir: Column) -> Column:
@@ -178,7 +179,7 @@ def allowed_root(options: Options, path: Column, is_dir: Column) -> Column:
     if options.root_folders is None:
         return F.lit(True)
     known = sorted(x.upper() for x in options.root_folders)
-    return ((paths.depth(path) == 1) & ~is_dir) | (F.upper(paths.root_segment(path)).isin(*known) if known else FALSE)
+    return ((paths.depth(path) == 1) & ~is_dir) | (F.upper(paths.root_segment(path)).isin(*known) if known else _false())
 
 
 def reachable(options: Options, path: Column) -> Column:
@@ -213,13 +214,13 @@ def visible(nodes: DataFrame, options: Options) -> DataFrame:
         return _with_ancestors(walked, walked.filter(F.contains(F.upper(name), F.lit(options.name_filter.upper()))))
     if not any(s.rules for s in options.scopes):
         return walked
-    return _with_ancestors(walked, walked.filter(~(is_dir & ~F.coalesce(F.col("access_denied"), FALSE) & emptied(options, path))))
+    return _with_ancestors(walked, walked.filter(~(is_dir & ~F.coalesce(F.col("access_denied"), _false()) & emptied(options, path))))
 
 
 def emptied(options: Options, path: Column) -> Column:
     """A directory that goes when nothing is left in it."""
     probe = F.concat(path, F.lit("/_probe_"))
-    return git_ignored(options, path, F.lit(True)) | git_ignored(options, probe, FALSE)
+    return git_ignored(options, path, F.lit(True)) | git_ignored(options, probe, _false())
 
 
 def with_directories(files: DataFrame) -> DataFrame:
