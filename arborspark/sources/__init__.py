@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Sources and sinks: directories, archives, repositories and ignore files."""

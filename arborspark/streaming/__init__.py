@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Measures of files that keep arriving."""
