@@ -119,10 +119,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _WOR
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one running sum over ``data``."""
+def running_sum(data: np.ndarray) -> np.ndarray:
+    """What ``span_hashes`` needs of ``data``; worth keeping where several kinds of spans are hashed."""
     _grow(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * _inverses[starts]
-    return mix(h)
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, from one running sum over ``data``."""
+    total = running_sum(data) if total is None else total
+    return mix((total[ends] - total[starts]) * _inverses[starts])

@@ -1,7 +1,7 @@
 """A quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words.  Every passage is encoded: its counts of kinds of
-characters, word statistics and the mean and greatest log-odds of its words, then a learned tanh layer.  Gated attention
+characters, word statistics and the mean and greatest log-odds of its words and of their beginnings, then a learned tanh layer.  Gated attention
 weights, learned from document labels alone, average the passages, and a logistic layer scores the average.  One
 such head judges quality, another toxicity.
 """
@@ -16,16 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import chunks, only_ids, span_hashes, string_buffers, word_spans
+from arborspark.llm.common import chunks, only_ids, running_sum, span_hashes, string_buffers, word_spans
 
 PASSAGE_WORDS = 64
-ODDS = 1 << 18
+ODDS = 1 << 19
+#: Bytes of a word's beginning, each with log-odds of its own; 0 stands for the whole word.
+PREFIXES = (0, 4, 5, 6)
+#: A word counts as a mark of toxicity if it or a beginning of it has greater log-odds.
+MARK = 1.5
 #: Kinds of bytes: other, upper case, lower case, digit, blank, line end, symbols, bar, exclamation, stops, other ASCII punctuation, not ASCII.
 KINDS = 12
 _KIND = np.zeros(256, np.int64)
 for _kind, _bytes in enumerate((b"", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b" \t", b"\n\r", b"#$%&*", b"|", b"!", b".,;:?", b"\"'()+-/<=>@[\\]^_`{}~", bytes(range(128, 256)))):
     _KIND[list(_bytes)] = _kind
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+WIDTH = KINDS + 8 + 3 * (len(PREFIXES) - 1)
 
 
 @dataclass
@@ -64,6 +69,15 @@ class Model:
     prior: tuple[float, float]
 
 
+def _places(fold: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each of ``PREFIXES``, the words' places in the table of odds."""
+    total, out = running_sum(fold), []
+    for n in PREFIXES:
+        h = span_hashes(fold, starts, np.minimum(ends, starts + n) if n else ends, total)
+        out.append(((h >> np.uint64(7 * n)) & np.uint64(ODDS - 1)).astype(np.int64))
+    return out
+
+
 def passages(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features, each row's first passage): every row has one passage at least, all its bytes are in some passage."""
     fold = _FOLD[data]
@@ -80,7 +94,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray) -> tuple[n
     size = np.diff(np.append(byte, len(data)))
     kinds = np.bincount(np.repeat(np.arange(n) * KINDS, size) + _KIND[data], minlength=n * KINDS).reshape(n, KINDS)
     in_passage = np.minimum(bounds[row + 1], begin + PASSAGE_WORDS) - begin
-    x = np.zeros((n, KINDS + 8), np.float32)
+    x = np.zeros((n, WIDTH), np.float32)
     x[:, :KINDS] = kinds / np.maximum(1, size)[:, None]
     x[:, KINDS] = np.log1p(in_passage)
     if len(starts):
@@ -93,29 +107,47 @@ def passages(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray) -> tuple[n
         key = np.sort(h >> np.uint64(24) | p.astype(np.uint64) << np.uint64(40))
         distinct = key[np.concatenate([[True], key[1:] != key[:-1]])] >> np.uint64(40)
         x[:, KINDS + 3] = np.bincount(distinct.astype(np.int64), minlength=n) / per
-        value = odds[(h & np.uint64(ODDS - 1)).astype(np.int64)]
         some = np.flatnonzero(in_passage > 0)
-        x[some, KINDS + 4 : KINDS + 6] = np.add.reduceat(value, begin[some], 0) / in_passage[some, None]
-        x[some, KINDS + 6] = np.minimum.reduceat(value[:, 0], begin[some])
-        x[some, KINDS + 7] = np.maximum.reduceat(value[:, 1], begin[some])
+        for k, place in enumerate(_places(fold, starts, ends)):
+            value = odds[place]
+            if not k:
+                x[some, KINDS + 4 : KINDS + 6] = np.add.reduceat(value, begin[some], 0) / in_passage[some, None]
+                x[some, KINDS + 6] = np.minimum.reduceat(value[:, 0], begin[some])
+                x[some, KINDS + 7] = np.maximum.reduceat(value[:, 1], begin[some])
+                continue
+            at, toxic = KINDS + 5 + 3 * k, np.ascontiguousarray(value[:, 1])
+            x[some, at] = np.add.reduceat(toxic, begin[some]) / in_passage[some]
+            x[some, at + 1] = np.maximum.reduceat(toxic, begin[some])
+            x[some, at + 2] = np.log1p(np.add.reduceat((toxic > MARK).astype(np.float32), begin[some]))
     return x, first
 
 
-def word_odds(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, least: int = 4) -> np.ndarray:
-    """Smoothed log-odds of each hashed word's presence for each label column; 0 for words in fewer than ``least`` rows."""
+def word_odds(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, folds: np.ndarray, n_folds: int, least: int = 4) -> list[np.ndarray]:
+    """Smoothed log-odds of each hashed word's or beginning's presence for each label column; 0 for those in fewer than ``least`` rows.
+
+    The first table is over all rows, table 1 + f over the rows outside fold f.
+    """
     fold = _FOLD[data]
     starts, ends, bounds = word_spans(fold, offsets)
-    place = (span_hashes(fold, starts, ends) & np.uint64(ODDS - 1)).astype(np.int64)
-    row = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    pair = np.unique(row * ODDS + place)
-    row, place = pair // ODDS, pair % ODDS
-    out = np.zeros((ODDS, 2), np.float32)
-    seen = np.bincount(place, minlength=ODDS)
-    for k in range(2):
-        y = labels[:, k]
-        yes = np.bincount(place, y[row], ODDS)
-        out[:, k] = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((seen - yes + 0.5) / (len(y) - y.sum() + 1))
-    out[seen < least] = 0
+    rows = np.repeat(np.arange(len(labels)), np.diff(bounds))
+    sums = np.zeros((n_folds, 3, ODDS), np.float32)
+    for place in _places(fold, starts, ends):
+        pair = np.unique(rows * ODDS + place)
+        row, place = pair // ODDS, pair % ODDS
+        for f in range(n_folds):
+            mine = folds[row] == f
+            for k, weight in enumerate((None, labels[row, 0], labels[row, 1])):
+                sums[f, k] += np.bincount(place[mine], None if weight is None else weight[mine], ODDS)
+    out = []
+    for f in range(-1, n_folds):
+        use = [g for g in range(n_folds) if g != f]
+        seen, y = sums[use, 0].sum(0), labels[folds != f]
+        odds = np.zeros((ODDS, 2), np.float32)
+        for k in range(2):
+            yes = sums[use, k + 1].sum(0)
+            odds[:, k] = np.log((yes + 0.5) / (y[:, k].sum() + 1)) - np.log((seen - yes + 0.5) / (len(y) - y[:, k].sum() + 1))
+        odds[seen < least] = 0
+        out.append(odds)
     return out
 
 
@@ -154,19 +186,23 @@ def fit_head(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 16,
     return Head(*(np.asarray(p, np.float32) for p in theta))
 
 
-def train(texts: list[str], quality: list[int], toxic: list[int], **options) -> Model:
-    """Words' odds come from one half of the rows and the heads from the other, so that the heads see odds as new rows have them."""
+def train(texts: list[str], quality: list[int], toxic: list[int], n_folds: int = 4, **options) -> Model:
+    """The heads see each row with odds from the other folds' rows, so that they see odds as new rows have them."""
     y = np.array([quality, toxic], np.float64).T.reshape(-1, 2)
-    half = np.arange(len(texts)) % 2 == 0
-    part = lambda keep: string_buffers(pa.array([t for t, k in zip(texts, keep, strict=True) if k], pa.string()))
-    odds = word_odds(*part(half), y[half]) if half.any() else np.zeros((ODDS, 2), np.float32)
-    data, offsets = part(~half)
-    x, first = passages(data, offsets, odds)
-    mean, spread = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(KINDS + 8), np.ones(KINDS + 8))
+    folds = np.arange(len(texts)) % n_folds
+    odds = word_odds(*string_buffers(pa.array(texts, pa.string())), y, folds, n_folds)
+    parts, sizes = [], []
+    for f in range(n_folds):
+        x, first = passages(*string_buffers(pa.array(texts[f::n_folds], pa.string())), odds[f + 1])
+        parts.append(x)
+        sizes.append(np.diff(first))
+    x, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    y = np.concatenate([y[f::n_folds] for f in range(n_folds)])
+    mean, spread = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     scaled = (x - mean) / spread
-    heads = [fit_head(scaled, first, y[~half][:, k], **options) if len(x) else None for k in range(2)]
+    heads = [fit_head(scaled, first, y[:, k], **options) if len(x) else None for k in range(2)]
     prior = tuple(float((y[:, k].sum() + 0.5) / (len(y) + 1)) for k in range(2))
-    return Model(odds, mean.astype(np.float32), spread.astype(np.float32), *heads, prior)
+    return Model(odds[0], mean.astype(np.float32), spread.astype(np.float32), *heads, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> Model:
