@@ -129,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, k: int = 64, threshold: float = 0.6, slack: float = 0.2, common: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
     """Groups of near-duplicate documents: (doc_id, group_id, group_size, is_kept), one row for each member.
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams (lower case, without ASCII
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     - Rows that repeat an id count once; an id with several texts matches if any of them does.
     - A text shorter than n words has one n-gram, all of it.  Long texts are used whole.
     - An empty table gives no rows; other columns are ignored, whatever their names.
-    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.0006.
+    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.001.
     """
     floor = threshold - slack
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
@@ -212,7 +212,7 @@ with recursive d as (select distinct doc_id, text, list_filter(regexp_split_to_a
 s as (select distinct doc_id, unnest(case when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from d where len(w) > 0),
 n as (select doc_id, count(*) as n from s group by 1),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where c / (x.n + y.n - c)::double >= 0.6
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where c / (x.n + y.n - c)::double >= 0.5
       union select x.doc_id, y.doc_id from d x join d y on x.text = y.text and x.doc_id < y.doc_id),
 t as (select a, b from e union select b, a from e),
 r as (select a as x, b as y from t union select r.x, t.b from r join t on r.y = t.a),
