@@ -113,7 +113,7 @@ class ShardReader:
     """Looks keys up in a shard's bytes: Bloom filter, binary search of the index, then of the restarts."""
 
     def __init__(self, data: bytes):
-        self.data = memoryview(data)
+        self.data = memoryview(data).cast("B")  # an Arrow buffer's own view has signed bytes
         if len(data) < FOOTER.size:
             raise ValueError("not a shard")
         i, n, b, m, self.entries, self.blocks, magic = FOOTER.unpack(self.data[-FOOTER.size :])
