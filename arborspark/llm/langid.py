@@ -249,7 +249,7 @@ def _summary(model: Model, found: Labelled, min_share: float):
     counts = np.bincount(row * nl + found.labels, minlength=n * nl).reshape(n, nl)
     words = counts.sum(1)
     best = counts[:, : nl - 1].argmax(1) if nl > 1 else np.zeros(n, np.int64)
-    share = np.where(words > 0, counts[np.arange(n), best] / np.maximum(words, 1), 0.0)
+    share = np.where((words > 0) & (nl > 1), counts[np.arange(n), best] / np.maximum(words, 1), 0.0)
     spoken = np.flatnonzero(found.labels != nl - 1)
     turn = (found.labels[spoken[1:]] != found.labels[spoken[:-1]]) & (row[spoken[1:]] == row[spoken[:-1]])
     switches = np.bincount(row[spoken[1:]][turn], minlength=n)
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     - A null, empty or wordless text has no words, null as its language, share 0 and isn't accepted; a null id stays null.
     - Repeated rows each give a row.  Ties go to the first language by name.  Long texts are labelled whole.
-    - No rows in, no rows out.  Other columns are ignored, whatever their names.
+    - A model without languages accepts nothing.  No rows in, no rows out.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
