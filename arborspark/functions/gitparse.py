@@ -30,11 +30,19 @@ def error_kind(message: Column) -> Column:
 
 
 def progress(line: Column) -> Column:
-    """The first ``N%`` of at most 100, or null."""
-    found = F.transform(F.regexp_extract_all(line, F.lit(r"(\d{1,9})%"), 1), lambda x: x.cast("int"))
+    """The first whole number of at most 100 before a percent sign, blanks between allowed; or null."""
+    found = F.transform(F.regexp_extract_all(line, F.lit(r"(?<!\d)0*(\d{1,9})\s*%"), 1), lambda x: x.cast("int"))
     return F.try_element_at(F.filter(found, lambda x: x <= 100), F.lit(1))
 
 
+def trailing_percent(status: Column) -> Column:
+    """The number of a status that ends in a percent sign, after its last blank; or null."""
+    text = F.trim(status)
+    token = F.regexp_replace(F.substring_index(text, " ", -1), r"%+\z", "")
+    number = token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")
+    return F.when(F.endswith(text, F.lit("%")) & number, token.try_cast("double"))
+
+
 def remote_branch(line: Column) -> Column:
     """A branch's name in a line of ls-remote ('<hash> refs/heads/<name>') or of branch -r ('  origin/<name>'; aliases with -> don't count)."""
     head = F.regexp_extract(line, r"refs/heads/(.+)\z", 1)

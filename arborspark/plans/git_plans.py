@@ -76,12 +76,14 @@ def q_branch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gitparse.branches(spark.createDataFrame(list(enumerate(_BRANCHES)), "n int, line string"), "MAIN")
 
 
-_PROGRESS = [("Receiving objects:  42% (42/100)", 42), ("100% done", 100), ("250% then 7%", 7), ("none", None), ("", None), ("Resolving 0%", 0)]
+#: (line, percent of progress, percent at the end)
+_PROGRESS = [("Receiving objects:  42% (42/100)", 42, None), ("100% done", 100, None), ("250% then 7 %", 7, None), ("none", None, None), ("", None, None), ("Resolving 0%", 0, "0"), ("Unpacking 12.5% ", 5, "12.5"), ("1234567890123% 99%", 99, "99"), ("at x%", None, None), ("007%", 7, "7")]
 
 
-@query(f"select * from (values {_values(_PROGRESS)}) as v(line, percent)")
+@query(f"select line, percent::int as percent, at_end::double as at_end from (values {_values(_PROGRESS)}) as v(line, percent, at_end)")
 def q_progress_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x, _ in _PROGRESS], "line string").select("line", gitparse.progress(F.col("line")).alias("percent"))
+    line = F.col("line")
+    return spark.createDataFrame([(x,) for x, *_ in _PROGRESS], "line string").select("line", gitparse.progress(line).alias("percent"), gitparse.trailing_percent(line).alias("at_end"))
 
 
 _ERRORS = [
