@@ -33,8 +33,8 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 1) ->
     d = x.shape[1]
     if not len(x):
         return rng.normal(size=(d, bits))
-    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=True)
-    base = axes[:bits].T
+    centred = x - x.mean(0)
+    base = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :bits]
     if bits > d:  # more bits than dimensions: further random directions
         base = np.concatenate([base, np.linalg.qr(rng.normal(size=(bits, bits)))[0][:d, : bits - d]], 1)
     v = x @ base
