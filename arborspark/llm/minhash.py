@@ -6,7 +6,8 @@
    of each sketch the two share ``common`` (or o, if less): only these are indexed, and fewer overlaps don't make a
    candidate.  A value that very many documents retain, such as one of a shared passage, is thus indexed only
    for documents made of little else.
-3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.
+3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.  Before sketches
+   travel, a bitmap of each bounds from above how many values two sketches share, and drops pairs that can't pass.
 4. The exact Jaccard similarity of the full n-gram sets verifies.
 
 Documents in one group of verified links form connected components.  Identical texts are joined first, by
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window as W
 
 from arborspark.llm.common import chunks, cut, mix, only_ids, shared_table, span_hashes, string_buffers, word_spans
 
+#: 64-bit words of a sketch's bitmap.
+WORDS = 8
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -76,7 +79,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
 
 
 def _sketches(df: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, digest, size, sketch) of (doc_id, lower-cased text, digest)."""
+    """(doc_id, digest, size, sketch, b0 ...) of (doc_id, lower-cased text, digest); the b are the words of the sketch's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, digest, values, bounds in _chunked(batches, n):
@@ -85,9 +88,14 @@ def _sketches(df: DataFrame, n: int, k: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(kept)])
             take = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], kept)
             sketch = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[take]))
-            yield pa.RecordBatch.from_arrays([ids, digest, pa.array(size.astype(np.int32)), sketch], ["doc_id", "digest", "size", "sketch"])
+            marks = np.zeros((len(size), WORDS * 64), bool)
+            marks[np.repeat(np.arange(len(size)), kept), values[take] & (WORDS * 64 - 1)] = True
+            words = np.packbits(marks, axis=1).view(np.int64)
+            bitmap = [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([ids, digest, pa.array(size.astype(np.int32)), sketch, *bitmap], ["doc_id", "digest", "size", "sketch", *(f"b{i}" for i in range(WORDS))])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch array<bigint>")
+    bits = ", ".join(f"b{i} bigint" for i in range(WORDS))
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch array<bigint>, {bits}")
 
 
 def _shingles(df: DataFrame, n: int) -> DataFrame:
@@ -164,6 +172,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
+        marks = lambda side: sketches.select(F.col("doc_id").alias(side), F.size("sketch").alias(f"m{side}"), *[F.col(f"b{i}").alias(f"{side}{i}") for i in range(WORDS)])
+        ones = lambda columns: sum((F.bit_count(c) for c in columns), F.lit(0))
+        both = ones(F.col(f"a{i}").bitwiseAND(F.col(f"b{i}")) for i in range(WORDS))
+        # shared values have their bits in both; as many more are shared at most as one side's values share bits among themselves
+        spare = F.least(*[F.col(f"m{side}") - ones(F.col(f"{side}{i}") for i in range(WORDS)) for side in "ab"])
+        pairs = pairs.select("a", "b").join(marks("a"), "a").join(marks("b"), "b").filter(both + spare >= overlap(F.greatest("ma", "mb"))).select("a", "b")
         near = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
         far = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
         estimated = cut(pairs.join(near, "a").join(far, "b").filter(union_estimate(F.col("sa"), F.col("sb"), k) >= floor).select("a", "b").distinct())
@@ -183,7 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links)
 
     member = index.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", "size", "m", F.coalesce("component", "doc_id").alias("c"))
-    member = member.withColumn("n_c", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
+    # one shuffle by value serves both windows and the join
+    member = member.repartition("v").withColumn("n_c", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
     by_list = W.partitionBy("v")
     member = member.withColumn("lo", F.min("c").over(by_list)).withColumn("hi", F.max("c").over(by_list)).withColumn("big", F.max(F.struct("n_c", "c")).over(by_list)["c"]).filter("lo <> hi")
     # of any two members in different components, one at least is outside the list's largest component
