@@ -5,10 +5,9 @@ into substrings, each indexed.  By the pigeonhole principle, codes within a radi
 for ``r // substrings`` bits; probing all values that near in every substring's index retrieves every
 code within r.  The retrieved vectors are ranked by their floats.
 
-Two radii are used.  The small one settles the rows that have k neighbours at least ``settled`` similar, for which it
-misses next to nothing.  The rest need a radius found on a sample (``widest_radius``), so that it holds 97 % of
-true neighbours.  Where that is so wide that each substring's probes cover most of its index, the index can't prune,
-and the codes are compared block by block instead: still every code within the radius, and every row is a query.
+The radius is small; it settles the rows that have k neighbours at least ``settled`` similar, for which it misses next
+to nothing.  The neighbours of all other rows may lie at any distance, so these rows are compared with every row, by
+floats and block by block, without a radius: their k nearest are exact.
 """
 
 from __future__ import annotations
@@ -85,7 +84,7 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.nonzero(scores > -2)
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, radius: int = 7, settled: float = 0.985, sample_rows: int = 10_000, sample_queries: int = 400) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, radius: int = 7, settled: float = 0.985, sample_rows: int = 10_000) -> DataFrame:
     """(vec_id, neighbour_id, rank, cosine): each row's k nearest other rows by cosine.
 
     - Rows with a null id, a null vector or a null, infinite or NaN element have no result and are nobody's neighbour; so
@@ -135,10 +134,9 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     near = shared_table(ranked.select("q", "c", "cosine"), "near")
     done = cut(near.filter(F.col("cosine") >= settled).groupBy("q").count().filter(F.col("count") >= k).select(F.col("q").alias("rep")))
 
-    width = widest_radius(reps, d, k, sample_queries, total)
     rest = reps.join(done, "rep", "left_anti")
     blocks = max(1, -(-total // BLOCK_ROWS))
-    packed = F.sort_array(F.collect_list(F.struct("rep", "least", "code", "unit")))
+    packed = F.sort_array(F.collect_list(F.struct("rep", "least", "unit")))
     block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
     q_blocks = rest.groupBy(block.alias("qb")).agg(packed.alias("q")).select("qb", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
     c_blocks = reps.groupBy(block.alias("cb")).agg(packed.alias("c"))
@@ -146,15 +144,14 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(entry: pa.ListScalar) -> tuple:
             v = entry.values
-            return v.field("rep").to_numpy(), v.field("least").to_numpy(), v.field("code").to_numpy().view(np.uint64), _matrix(v.field("unit").to_pylist(), d)
+            return v.field("rep").to_numpy(), v.field("least").to_numpy(), _matrix(v.field("unit").to_pylist(), d)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 q, c = columns(batch.column(0)[i]), columns(batch.column(1)[i])
                 for a in range(0, len(q[0]), 512):
                     part = slice(a, a + 512)
-                    scores = q[3][part] @ c[3].T
-                    scores[np.bitwise_count(q[2][part][:, None] ^ c[2][None]) > width] = -3
+                    scores = q[2][part] @ c[2].T
                     scores[q[0][part][:, None] == c[0][None]] = -3
                     x, y = _top(scores, c[1], k)
                     yield pa.RecordBatch.from_arrays([pa.array(q[0][part][x]), pa.array(c[0][y]), pa.array(c[1][y]), pa.array(scores[x, y].astype(np.float64))], ["q", "c", "least", "cosine"])
@@ -171,26 +168,3 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     best = flat.filter("vec_id <> neighbour_id").groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
     best = best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id"))).filter(F.col("rank") <= k)
     return best.select("vec_id", "neighbour_id", "rank", F.round("cosine", 5).alias("cosine"))
-
-
-def widest_radius(reps: DataFrame, d: int, k: int, sample_queries: int, total: int, share: float = 0.97) -> int:
-    """The radius that holds ``share`` of the true k nearest neighbours of a sample of rows."""
-    chosen = reps.sample(min(1.0, 1.5 * sample_queries / total), 5).select("rep", "code", "unit").orderBy(F.xxhash64("rep")).limit(sample_queries).collect() if total else []
-    if not chosen:
-        return 64
-    ids, codes = np.array([r[0] for r in chosen]), np.array([r[1] for r in chosen], np.int64).view(np.uint64)
-    shared = reps.sparkSession.sparkContext.broadcast((ids, codes, _matrix([bytes(r[2]) for r in chosen], d)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, units = shared.value
-        for batch in batches:
-            c, code = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            scores = units @ _matrix(batch.column(2).to_pylist(), d).T
-            scores[ids[:, None] == c[None]] = -3
-            x, y = _top(scores, c, k)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(scores[x, y].astype(np.float64)), pa.array(np.bitwise_count(codes[x] ^ code[y]).astype(np.int32))], ["q", "cosine", "distance"])
-
-    found = reps.select("rep", "code", "unit").mapInArrow(run, "q bigint, cosine double, distance int")
-    found = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cosine"), "distance"))).filter(F.col("r") <= k)
-    row = found.agg(F.percentile("distance", F.lit(share)).alias("p")).first()
-    return 64 if row["p"] is None else int(np.ceil(row["p"]))

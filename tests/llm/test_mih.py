@@ -45,6 +45,17 @@ def test_recall(spark, kind):
         assert all(c <= b + 1e-4 for (_, _, c), b in zip(v, best[i]))
 
 
+def test_sparse_rows_beside_dense_clusters(spark):
+    """Most rows are settled by the small radius; the others still find all of their neighbours."""
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(68, 32)), 40, 0)
+    x = np.concatenate([rng.normal(size=(300, 32)), centres + rng.normal(size=centres.shape) * 0.01]).astype(np.float32)
+    got = found(mih.neighbours(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])))
+    near, _ = brute(list(range(len(x))), x)
+    assert recall(got, {i: near[i] for i in range(300)}) >= 0.99
+    assert recall(got, {i: near[i] for i in range(300, len(x))}) >= 0.95
+
+
 def test_probing_finds_all_codes_in_the_radius(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
