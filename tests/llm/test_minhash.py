@@ -62,6 +62,17 @@ def test_against_all_pairs(spark):
         assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
 
 
+def test_pairs_at_the_threshold_with_low_estimates(spark):
+    """Pairs of similarity 0.503 whose sketches, by bad luck, estimate 0.31 to 0.38."""
+    docs = []
+    for seed in (65, 103, 119, 130, 153):
+        rng = random.Random(seed)
+        shared = [f"s{rng.random()}" for _ in range(203)]
+        docs += [" ".join(shared + [f"{c}{rng.random()}" for _ in range(100)]) for c in "ab"]
+    want = {d: (d - d % 2, 2, d % 2 == 0) for d in range(10)}
+    assert found(minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"))) == want
+
+
 def test_a_large_group_of_copies(spark):
     """Hundreds of identical and hundreds of slightly different copies, and one passage in many texts of their own."""
     rng = random.Random(5)
