@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.llm.common import cut
 
-#: (licence, words that mark it): short notices, identifiers and the characteristic terms of the full texts.
+#: (licence, words that mark it): short notices, identifiers and characteristic terms; whole texts are added below.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See the LICENSE file."),
@@ -63,6 +64,10 @@ def _tokens(text: str) -> list[str]:
     return [t for t in re.split(_SPLIT, text.lower()) if t]
 
 
+#: Whole licence texts, a file for each licence; only their tokens count, so that they stand in SQL without quotes.
+#: The text of AGPL-3.0 is made from that of GPL-3.0 with its own section 13, as it was not at hand.
+TEMPLATES += [(p.stem, " ".join(_tokens(p.read_text(encoding="utf-8")))) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in _tokens(text)})
 
 
@@ -108,7 +113,7 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", thresh
         terms = _tokens(text)
         entries += [(k, t, terms.count(t) * weights[t]) for t in sorted(set(terms))]
         norms.append((k, TEMPLATES[k][0], sum(v * v for i, _, v in entries if i == k)))
-    # the templates are a constant of this module, a few hundred rows
+    # the templates are a constant of this module, some thousand rows
     terms = spark.createDataFrame(entries, "k int, t string, y bigint")
     norms = spark.createDataFrame(norms, "k int, licence string, ny bigint")
     length = vectors.groupBy("path", "u").agg(F.sum(F.col("x") * F.col("x")).alias("nx"))

@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pytest
 from cases import CLASHES, rows
 from pyspark.sql import functions as F
 
@@ -36,6 +39,17 @@ def test_every_template_finds_itself(spark):
     assert {p: x[0] for p, x in got.items()} == {f"{k}/LICENSE": name for k, (name, _) in enumerate(licenses.TEMPLATES)}
 
 
+def test_whole_licence_texts(spark):
+    """Real texts as licence files, among files of other words."""
+    texts = {name: Path("/usr/share/common-licenses", file) for name, file in {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items()}
+    if not all(p.exists() for p in texts.values()):
+        pytest.skip("no licence texts here")
+    files = [(f"{name}/LICENSE", p.read_text()) for name, p in texts.items()] + [(f"d/{i}", "the words of this text and of a few others to read") for i in range(20)]
+    got = scan(spark, files)
+    assert {name: got[f"{name}/LICENSE"] for name in texts} == {name: (name, "own", None) for name in texts}
+    assert all(got[f"d/{i}"] == (None, "none", None) for i in range(20))
+
+
 def test_empty(spark):
     assert scan(spark, []) == {}
     assert rows(licenses.scan(spark.createDataFrame([("a/b", None)], "path string, text string"))) == [("a/b", None, "none", None, None)]
