@@ -56,6 +56,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``shared_table`` wrote; for tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; broadcast up to ``broadcast_rows`` ids, a shuffled join beyond."""
     if ids.count() <= broadcast_rows:
