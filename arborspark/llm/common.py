@@ -64,11 +64,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids``; broadcast up to ``broadcast_rows`` ids, a shuffled join beyond."""
-    if ids.count() <= broadcast_rows:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi")
+def small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` marked for a broadcast if its rows have at most ``most_bytes``, measured; as it is beyond that, for a shuffled join."""
+    lengths = [F.octet_length(F.col(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in lengths), F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if size + rows * (16 + 8 * len(df.columns)) <= most_bytes else df
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``; these are broadcast if they are small."""
+    return df.join(small(ids), key, "left_semi")
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,30 +2,32 @@
 
 1. Every text becomes the set of its hashed word n-grams; its ``k`` smallest hashes are its sketch.
 2. Inverted lists of retained values generate overlaps.  A pair whose estimate reaches ``threshold - slack``
-   shares at least o = ``ceil((threshold - slack) * size)`` values, so among the rarest ``size - o + common`` values
-   of each sketch the two share ``common`` (or o, if less): only these are indexed, and fewer overlaps don't make a
-   candidate.  A value that very many documents retain, such as one of a shared passage, is thus indexed only
-   for documents made of little else.
+   shares at least o = ``ceil((threshold - slack) * size)`` values, so among the rarest ``size - o + c`` values
+   of each sketch the two share c: only these are indexed, and fewer overlaps don't make a candidate.  A value that
+   very many documents retain, such as one of a shared passage, is thus indexed only for documents made of little
+   else.  For a set of at most ``k * threshold`` n-grams all sketches involved are whole sets, so that no slack is needed.
 3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.
 4. The exact Jaccard similarity of the full n-gram sets verifies.
 
-Documents in one group of verified links form connected components.  Identical texts are joined first, by
-digest.  Then each list links its members to its smallest one; only where that leaves several components in
-a list are all pairs between these compared.  The result equals comparing all pairs of every list, without
-work that is quadratic in the size of a group of copies.
+Texts in one group of verified links form connected components.  Identical texts are joined first, by digest.  Lists are
+kept apart by the binary logarithm of the sets' sizes, as similar sets differ less than twofold.  Then each list
+links its members to its first one; only where that leaves several components in lists that may match are pairs
+between these compared.  The result equals comparing all pairs of every list, without work that is quadratic
+in the size of a group of copies.  No step gathers a list or a group in one task: counts and minima are partial
+aggregates that are joined back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import chunks, cut, mix, only_ids, shared_table, span_hashes, string_buffers, word_spans
+from arborspark.llm.common import chunks, cut, discard, mix, shared_table, small, span_hashes, string_buffers, word_spans
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -91,13 +93,13 @@ def _sketches(df: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def _shingles(df: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles) of (doc_id, lower-cased text)."""
+    """(t, shingles) of (t, lower-cased text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, values, bounds in _chunked(batches, n):
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))], ["t", "shingles"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, shingles array<bigint>")
+    return df.mapInArrow(run, "t bigint, shingles array<bigint>")
 
 
 def union_estimate(a: Column, b: Column, k: int) -> Column:
@@ -111,15 +113,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of edges (a, b), named by their smallest node.
 
     Alternates large-star and small-star steps; each halves distances, and each round is checkpointed.
-    Empty edges give an empty result.
+    Edges with a null end, loops and repeated edges count for nothing.  Empty edges give an empty result.
     """
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", least).filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        low = large.withColumn("m", F.min("a").over(W.partitionBy("b")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        low = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         small = low.select(F.col("m").alias("a"), F.col("b")).union(low.filter("a <> m").select("m", F.col("a").alias("b"))).distinct()
         edges = cut(small)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -129,82 +131,128 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
-    """Groups of near-duplicate documents: (doc_id, group_id, group_size, is_kept), one row for each member.
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, lower) of the rows with an id and a text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+    return rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.lower("text").alias("lower"))
 
-    Two texts are linked if the Jaccard similarity of their sets of word n-grams (lower case, without ASCII
-    punctuation) reaches ``threshold``, or if they are identical; groups are the connected components.  The
-    group's smallest id names it and is the one that is kept.  Documents without a partner have no row.
 
-    - A null id or a null text never matches and has no row.
-    - Empty texts and texts without words match only identical texts.
-    - Rows that repeat an id count once; an id with several texts matches if any of them does.
-    - A text shorter than n words has one n-gram, all of it.  Long texts are used whole.
-    - An empty table gives no rows; other columns are ignored, whatever their names.
-    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.001.
-    """
+def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
+    """(digest, c): the component of every different text of (doc_id, digest, lower); a text without links is one of its own."""
     floor = threshold - slack
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    lower = docs.select("doc_id", F.lower("text").alias("lower"), F.unhex(F.md5("text")).alias("digest"))
-    sketches = shared_table(_sketches(lower, n, k), "sketches")
-    unique = sketches.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    first = cut(sketches.select("doc_id", "digest", "size").join(unique, ["digest", "doc_id"], "left_semi").filter("size > 0").select("doc_id", "digest", "size").distinct())
-    kept = sketches.join(first.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "size", "sketch")
-
-    rows = kept.select("doc_id", "size", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    repeated = rows.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("df > 1")
-    per_doc = repeated.groupBy("doc_id", "size", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
-    # values that no other document retains are the rarest: they stand first and take up places
-    overlap = lambda m: F.ceil(F.lit(floor) * m - 1e-9)
-    least = lambda m: F.least(F.lit(common), overlap(m))
-    place = F.col("m") - overlap(F.col("m")) + least(F.col("m")) - (F.col("m") - F.size("values"))
-    index = per_doc.withColumn("place", place.cast("int")).filter("place > 0").select("doc_id", "size", "m", F.explode(F.slice("values", 1, F.col("place"))).alias("x")).select("doc_id", "size", "m", F.col("x.v").alias("v"))
-    index = shared_table(index, "index")
+    rows = _sketches(docs.select("doc_id", "lower", "digest"), n, k).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    texts = shared_table(rows.select(F.monotonically_increasing_id().alias("t"), "digest", "doc_id", "size", "sketch"), "sketches")
+    sketches = texts.filter("size > 0").select("t", "size", "sketch")
+
+    # o values at least are shared; sets this small, and all that may match them, are whole in their sketches
+    shared_least = lambda m: F.ceil(F.when(m <= k * threshold, F.lit(threshold)).otherwise(floor) * m - 1e-9).cast("int")
+    # how many values of their prefixes a pair shares, by the size class of the smaller set; never falling
+    class_least = [min(ceil((threshold if m <= k * threshold else floor) * m - 1e-9) for m in range(min(1 << b, k), min(2 << b, k + 1))) for b in range(k.bit_length())]
+    classes = [max(1, min(common, *(o // common for o in class_least[b:]))) for b in range(len(class_least))]
+    least = lambda b: F.array(*[F.lit(c) for c in classes])[F.least(b, F.lit(len(classes) - 1))]
+    values = sketches.select("t", F.explode("sketch").alias("v"))
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    per_text = values.join(counts, "v").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
+    b, m = F.length(F.bin("size")) - 1, F.size("sketch")
+    # values that no other text retains are the rarest: they stand first and take up places
+    place = m - shared_least(m) + least(b) - (m - F.size("values"))
+    placed = per_text.join(sketches, "t").withColumn("place", place).filter("place > 0")
+    placed = shared_table(placed.select("t", b.alias("b"), "size", F.transform(F.slice("values", 1, F.col("place")), lambda x: x["v"]).alias("values")), "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
-        near = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
-        far = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
+        near = sketches.select(F.col("t").alias("a"), F.col("sketch").alias("sa"))
+        far = sketches.select(F.col("t").alias("b"), F.col("sketch").alias("sb"))
         estimated = cut(pairs.join(near, "a").join(far, "b").filter(union_estimate(F.col("sa"), F.col("sb"), k) >= floor).select("a", "b").distinct())
-        ids = estimated.select(F.col("a").alias("doc_id")).union(estimated.select("b")).distinct()
-        sets = shared_table(_shingles(only_ids(docs.select("doc_id", F.lower("text").alias("lower")), ids, "doc_id"), n), "shingles")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        ids = estimated.select(F.col("a").alias("t")).union(estimated.select("b")).distinct().join(texts.select("t", "doc_id", "digest"), "t")
+        sets = shared_table(_shingles(docs.join(small(ids), ["doc_id", "digest"]).select("t", "lower"), n), "shingles")
+        if sets.count() > ids.count():  # rows that repeat an id and a text
+            repeated, sets = sets, shared_table(sets.groupBy("t").agg(F.first("shingles").alias("shingles")), "shingles")
+            discard(repeated)
+        left = sets.select(F.col("t").alias("a"), F.col("shingles").alias("sa"))
+        right = sets.select(F.col("t").alias("b"), F.col("shingles").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         jaccard = shared / (F.size("sa") + F.size("sb") - shared)
-        return cut(estimated.join(left, "a").join(right, "b").filter(jaccard >= threshold).select("a", "b").distinct())
-
-    fits = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    candidates = lambda pairs: pairs.groupBy("a", "b", "m").count().filter(F.col("count") >= least(F.col("m"))).select("a", "b")
-    smallest = index.withColumn("first", F.min(F.struct("doc_id", "size", "m")).over(W.partitionBy("v"))).filter("first.doc_id < doc_id").filter(fits("first.size", "size"))
-    star = cut(candidates(smallest.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.greatest("m", "first.m").alias("m"))))
+        links = cut(estimated.join(left, "a").join(right, "b").filter(jaccard >= threshold).select("a", "b").distinct())
+        discard(sets)
+        return links
+
+    index = placed.select("t", "b", F.explode("values").alias("v"))
+    heads = index.groupBy("v", "b").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spokes = index.join(heads, ["v", "b"]).filter("first < t").groupBy(F.col("first").alias("a"), F.col("t").alias("b"), F.col("b").alias("k")).count()
+    star = cut(spokes.filter(F.col("count") >= least(F.col("k"))).select("a", "b"))
     links = verified(star)
     groups = components(links)
 
-    member = index.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", "size", "m", F.coalesce("component", "doc_id").alias("c"))
-    member = member.withColumn("n_c", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
-    by_list = W.partitionBy("v")
-    member = member.withColumn("lo", F.min("c").over(by_list)).withColumn("hi", F.max("c").over(by_list)).withColumn("big", F.max(F.struct("n_c", "c")).over(by_list)["c"]).filter("lo <> hi")
-    # of any two members in different components, one at least is outside the list's largest component
-    x = member.filter("c <> big").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("m").alias("mx"))
-    y = member.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("m").alias("my"), F.col("big").alias("by"))
-    # and where both are, the pair meets twice in the join and counts once
-    met = x.join(y, "v").filter("cx <> cy and (cy = by or x < y)").filter(fits("nx", "ny"))
-    across = candidates(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("mx", "my").alias("m")))
+    # list k of a value has the texts of class k and those that are not too large for them
+    reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("k")
+    member = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), F.explode("values").alias("v"))
+    each = member.groupBy("v", "b", "c").agg(F.count(F.lit(1)).alias("n")).select("v", "c", "n", reach).groupBy("v", "k", "c").agg(F.sum("n").alias("n"))
+    lists = each.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi")
+    # a value has as many lists as there are size classes, at most
+    of_value = lists.groupBy("v").agg(F.collect_list(F.struct("k", "big")).alias("lists"))
+    mine = F.explode(F.filter("lists", lambda x: (x["k"] <= F.col("b")) & (x["k"] >= F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)))))
+    member = shared_table(member.join(of_value, "v").select("v", "t", "b", "size", "c", mine.alias("l")).select("v", "t", "b", "size", "c", "l.k", "l.big"), "lists")
+    # of any two texts in different components, one at least is outside the largest one
+    x = member.filter("c <> big").select("v", "k", F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
+    y = member.select("v", "k", F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
+    # where both are outside, the pair meets twice in the join and counts once; and it counts in the smaller one's class
+    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")
+    met = x.join(y, ["v", "k"]).filter("cx <> cy and (cy = big or x < y) and least(bx, by) = k").filter(fits)
+    across = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "k").count().filter(F.col("count") >= least(F.col("k"))).select("a", "b")
     more = verified(across.join(star, ["a", "b"], "left_anti"))
-    groups = components(links.union(more)).withColumnRenamed("node", "first").withColumnRenamed("component", "c")
+    groups = components(links.union(more)).withColumnRenamed("node", "t").withColumnRenamed("component", "c")
+    found = cut(texts.select("t", "digest").join(groups, "t", "left").select("digest", F.coalesce("c", "t").alias("c")))
+    discard(texts, placed, member)
+    return found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Groups of near-duplicate documents: (doc_id, group_id, group_size, is_kept), one row for each member.
 
-    every = sketches.select("doc_id", "digest").distinct().join(unique.withColumnRenamed("doc_id", "first"), "digest")
-    every = every.join(groups, "first", "left").select("doc_id", F.coalesce("c", "first").alias("c")).distinct()
-    # an id with several texts may stand in several groups; they are one then
-    found = every.withColumn("group_size", F.count(F.lit(1)).over(W.partitionBy("c"))).withColumn("group_id", F.min("doc_id").over(W.partitionBy("c"))).filter("group_size > 1")
-    return found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.max("group_size").alias("group_size")).withColumn("is_kept", F.col("doc_id") == F.col("group_id"))
+    Two texts are linked if the Jaccard similarity of their sets of word n-grams (lower case, without ASCII
+    punctuation) reaches ``threshold``, or if they are identical; groups are the connected components.  The
+    group's smallest id names it and is the one that is kept.  Documents without a partner have no row.
+
+    - A null id or a null text never matches and has no row.
+    - Empty texts and texts without words match only identical texts.
+    - Rows that repeat an id count once; the groups of an id's several texts are one group.
+    - A text shorter than n words has one n-gram, all of it.  Long texts are used whole.
+    - An empty table gives no rows; other columns are ignored, whatever their names.
+    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.001.
+    """
+    rows = _digests(docs, id_col, text_col)
+    groups = text_groups(rows, **options)
+    every = cut(rows.select("doc_id", "digest").distinct().join(groups, "digest").select("doc_id", "c").distinct())
+    several = every.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("doc_id", "a")
+    bridges = cut(every.join(several, "doc_id").filter("a <> c").select("a", F.col("c").alias("b")))
+    if not bridges.isEmpty():
+        every = every.join(components(bridges).withColumnRenamed("node", "c"), "c", "left").select("doc_id", F.coalesce("component", "c").alias("c")).distinct()
+    sizes = every.groupBy("c").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("group_id")).filter("group_size > 1")
+    return every.join(sizes, "c").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of ``near_duplicates``; rows without a group stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("not is_kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each group of texts: the one of the smallest id and, for that, of the smallest digest.
+
+    - It is decided text by text: what else stands under an id neither keeps nor drops a text.
+    - Of rows with the same id and text one stays, the one whose columns have the least hash.
+    - Rows with a null id or a null text stay, all of them.  No rows in, no rows out.
+    """
+    digest = F.unhex(F.md5(F.col(text_col)))
+    rows = _digests(docs, id_col, text_col)
+    groups = text_groups(rows, **options)
+    pairs = cut(rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).join(groups, "digest"))
+    kept = pairs.groupBy("c").agg(F.min(F.struct("doc_id", "digest", "n")).alias("k")).select("k.*")
+    marks = pairs.join(kept.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").select("doc_id", "digest", F.lit(0).alias("n"))
+    marks = small(cut(marks.union(kept.filter("n > 1").select("doc_id", "digest", F.lit(1)))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n").alias("_n")))
+    marked = docs.join(marks, (F.col(id_col) == F.col("_id")) & (digest == F.col("_digest")), "left")
+    out = marked.filter("_n is null").select(docs.columns)
+    if not marks.filter("_n = 1").isEmpty():
+        named = [F.col(c) for c in docs.columns]
+        hashed = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+        out = out.union(marked.filter("_n = 1").groupBy("_id", "_digest").agg(F.min_by(F.struct(*named), hashed).alias("_row")).select("_row.*"))
+    return out
 
 
 SQL = """

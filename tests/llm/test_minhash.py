@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from cases import LONG, empty, odd, rows
 
@@ -96,11 +97,48 @@ def test_dropping_keeps_one_of_each_group(spark):
     df = odd(spark)
     kept = minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [-9, 1, 2, 3, 4, 5, 6, 6, 6, 8, 10]
+    assert sorted((r.doc_id, (r.text or "")[:9]) for r in kept.filter("doc_id is not null").collect()) == [(-9, "ein deuts"), (1, "The quick"), (2, ""), (3, ""), (4, " \n\t "), (5, "word word"), (6, "another t"), (6, "twice the"), (8, "!!! ### ."), (10, "x")]
     assert kept.filter("doc_id is null").count() == 2
     assert minhash.drop_near_duplicates(empty(spark)).collect() == []
 
 
+def test_dropping_loses_no_text_of_its_own(spark):
+    """An id whose one text is a copy keeps its other one; repeated rows stay once, whichever of their columns differ."""
+    a, b = "some words that stand twice in here", "a text unlike anything else in the table"
+    kept = minhash.drop_near_duplicates(spark.createDataFrame([(1, a, "x"), (9, a, "y"), (9, b, "z"), (5, "x y", "p"), (5, "x y", "p"), (5, "x y", "q")], "doc_id bigint, text string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, "x y"), (9, b)]
+
+
+def test_the_texts_of_an_id_join_their_groups(spark):
+    a, b = "some words that stand twice in here", "a text unlike anything else in the table"
+    docs = [(1, a), (9, a), (9, b), (4, b), (7, "neither of the two texts above this one")]
+    got = found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert got == brute(docs) == {d: (1, 3, d == 1) for d in (1, 4, 9)}
+
+
+def test_ids_of_other_types(spark):
+    docs = [("b", LONG), ("a", LONG + "tail"), ("c", "nothing of the kind")]
+    assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string"))) == {"a": ("a", 2, True), "b": ("a", 2, False)}
+
+
+def test_short_texts_with_a_common_pair_of_words(spark):
+    """Thousands of five-word texts share a pair of words: no two meet for that alone, and the few copies are found."""
+    docs = [(i, f"so it a{i} b{i} c{i}") for i in range(8000)] + [(8000 + i, f"so it a{i} b{i} d{i}") for i in range(3)] + [(9000 + i, f"so it a{i} b{i} c{i} d{i}") for i in range(100, 103)]
+    began = time.time()
+    got = found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    pairs = [(i, 8000 + i) for i in range(3)] + [(i, 9000 + i) for i in range(100, 103)]
+    assert got == {x: (a, 2, x == a) for a, b in pairs for x in (a, b)} and time.time() - began < 60
+
+
+def test_sizes_around_powers_of_two(spark):
+    """Sets of n and 2n n-grams of which one holds the other have a similarity of just a half."""
+    docs = []
+    for n in (1, 2, 3, 4, 7, 8, 15, 16, 31, 32, 33, 64, 128):
+        words = [f"v{n}_{i}" for i in range(2 * n + 1)]
+        docs += [(1000 * n, " ".join(words)), (1000 * n + 1, " ".join(words[: n + 1]))]
+    assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)]
