@@ -150,13 +150,14 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
     class_least = [min(ceil((threshold if m <= k * threshold else floor) * m - 1e-9) for m in range(min(1 << b, k), min(2 << b, k + 1))) for b in range(k.bit_length())]
     classes = [max(1, min(common, *(o // common for o in class_least[b:]))) for b in range(len(class_least))]
     least = lambda b: F.array(*[F.lit(c) for c in classes])[F.least(b, F.lit(len(classes) - 1))]
-    values = sketches.select("t", F.explode("sketch").alias("v"))
+    # 40 bits of a hash are enough for a list: two values in one only make more candidates
+    values = sketches.select("t", F.explode(F.array_distinct(F.transform("sketch", lambda x: x.bitwiseAND((1 << 40) - 1)))).alias("v"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per_text = values.join(counts, "v").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
-    b, m = F.length(F.bin("size")) - 1, F.size("sketch")
+    b, m = F.length(F.bin("size")) - 1, F.least("size", F.lit(k))
     # values that no other text retains are the rarest: they stand first and take up places
     place = m - shared_least(m) + least(b) - (m - F.size("values"))
-    placed = per_text.join(sketches, "t").withColumn("place", place).filter("place > 0")
+    placed = per_text.join(sketches.select("t", "size"), "t").withColumn("place", place).filter("place > 0")
     placed = shared_table(placed.select("t", b.alias("b"), "size", F.transform(F.slice("values", 1, F.col("place")), lambda x: x["v"]).alias("values")), "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -185,17 +186,16 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
     groups = components(links)
 
     # list k of a value has the texts of class k and those that are not too large for them
-    reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("k")
     member = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), F.explode("values").alias("v"))
-    each = member.groupBy("v", "b", "c").agg(F.count(F.lit(1)).alias("n")).select("v", "c", "n", reach).groupBy("v", "k", "c").agg(F.sum("n").alias("n"))
-    lists = each.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi")
-    # a value has as many lists as there are size classes, at most
-    of_value = lists.groupBy("v").agg(F.collect_list(F.struct("k", "big")).alias("lists"))
-    mine = F.explode(F.filter("lists", lambda x: (x["k"] <= F.col("b")) & (x["k"] >= F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)))))
-    member = shared_table(member.join(of_value, "v").select("v", "t", "b", "size", "c", mine.alias("l")).select("v", "t", "b", "size", "c", "l.k", "l.big"), "lists")
+    several = member.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
+    reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("k")
+    member = shared_table(member.join(several, "v").select("v", reach, "t", "b", "size", "c"), "lists")
+    each = member.groupBy("v", "k", "c").agg(F.count(F.lit(1)).alias("n"))
+    lists = each.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi").select("v", "k", "big")
+    listed = member.join(lists, ["v", "k"])
     # of any two texts in different components, one at least is outside the largest one
-    x = member.filter("c <> big").select("v", "k", F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
-    y = member.select("v", "k", F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
+    x = listed.filter("c <> big").select("v", "k", F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
+    y = listed.select("v", "k", F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
     # where both are outside, the pair meets twice in the join and counts once; and it counts in the smaller one's class
     fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")
     met = x.join(y, ["v", "k"]).filter("cx <> cy and (cy = big or x < y) and least(bx, by) = k").filter(fits)
