@@ -1,20 +1,20 @@
 """MinHash near-duplicates with bottom-k sketches from one hash function.
 
 1. Every text becomes the set of its hashed word n-grams; its ``k`` smallest hashes are its sketch.
-2. Inverted lists of retained values generate overlaps.  A pair whose estimate reaches ``threshold - slack``
-   shares at least o = ``ceil((threshold - slack) * size)`` values, so among the rarest ``size - o + c`` values
-   of each sketch the two share c: only these are indexed, and fewer overlaps don't make a candidate.  A value that
-   very many documents retain, such as one of a shared passage, is thus indexed only for documents made of little
-   else.  For a set of at most ``k * threshold`` n-grams all sketches involved are whole sets, so that no slack is needed.
+2. Inverted lists of retained values generate overlaps.  A pair at the threshold shares at least
+   o = ``min(threshold * size, (threshold - slack) * k)`` values, so among the rarest ``size - o + c`` values of
+   each sketch the two share c: only these are indexed, and fewer overlaps don't make a candidate.  A value that very
+   many documents retain, such as one of a shared passage, is thus indexed only for documents made of little else.
+   Where both sketches are whole sets nothing is lost; where one isn't, about 32 of its 64 values are shared, by chance
+   20 at least.
 3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.
 4. The exact Jaccard similarity of the full n-gram sets verifies.
 
-Texts in one group of verified links form connected components.  Identical texts are joined first, by digest.  Lists are
-kept apart by the binary logarithm of the sets' sizes, as similar sets differ less than twofold.  Then each list
-links its members to its first one; only where that leaves several components in lists that may match are pairs
-between these compared.  The result equals comparing all pairs of every list, without work that is quadratic
-in the size of a group of copies.  No step gathers a list or a group in one task: counts and minima are partial
-aggregates that are joined back.
+Texts in one group of verified links form connected components.  Identical texts are joined first, by digest.  Each list
+links its members to the first one of their size class (the binary logarithm of the sets' sizes); only where that leaves
+several components in a list are pairs between these compared.  The result equals comparing all pairs of every list,
+without work that is quadratic in the size of a group of copies.  No step gathers a long list or a group in one
+task: their counts and minima are partial aggregates that are joined back.
 """
 
 from __future__ import annotations
@@ -26,9 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from arborspark.llm.common import chunks, cut, discard, mix, shared_table, small, span_hashes, string_buffers, word_spans
 
+#: Members from which on a list of texts is never handled by one task.
+LONG_LIST = 4096
+
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -137,18 +141,48 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.lower("text").alias("lower"))
 
 
-def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(a, b, k): texts of a list that are in different components and whose sizes fit; k is the smaller one's class.
+
+    Of any two texts in different components, one at least is outside the list's largest one (x).  Where both are, the
+    pair meets twice in the join and counts once.
+    """
+    x = x.select(*on, F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
+    y = y.select(*on, F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
+    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")
+    met = x.join(y, on).filter("cx <> cy and (cy = big or x < y)").filter(fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("bx", "by").alias("k"), *on)
+
+
+def _across(member: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, k) once for each short list in which they meet; all of it with one shuffle by the list's value."""
+    w = W.partitionBy("v")
+    member = member.select("v", "t", "b", "size", "c").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
+    member = member.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).withColumn("big", F.max(F.struct("n", "c")).over(w)["c"]).filter("lo <> hi")
+    return _pairs(member.filter("c <> big"), member, ["v"], threshold).select("a", "b", "k")
+
+
+def _across_long(member: DataFrame, threshold: float) -> DataFrame:
+    """The same for long lists, which are cut into one for each size class: list k has the texts of class k and those that are not too large for them."""
+    reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("list")
+    member = member.select("v", "t", "b", "size", "c", reach)
+    each = member.groupBy("v", "list", "c").agg(F.count(F.lit(1)).alias("n"))
+    lists = each.groupBy("v", "list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi").select("v", "list", "big")
+    member = member.join(lists, ["v", "list"])
+    return _pairs(member.filter("c <> big"), member, ["v", "list"], threshold).filter("list = k").select("a", "b", "k")
+
+
+def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 6) -> DataFrame:
     """(digest, c): the component of every different text of (doc_id, digest, lower); a text without links is one of its own."""
     floor = threshold - slack
     rows = _sketches(docs.select("doc_id", "lower", "digest"), n, k).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     texts = shared_table(rows.select(F.monotonically_increasing_id().alias("t"), "digest", "doc_id", "size", "sketch"), "sketches")
     sketches = texts.filter("size > 0").select("t", "size", "sketch")
 
-    # o values at least are shared; sets this small, and all that may match them, are whole in their sketches
-    shared_least = lambda m: F.ceil(F.when(m <= k * threshold, F.lit(threshold)).otherwise(floor) * m - 1e-9).cast("int")
-    # how many values of their prefixes a pair shares, by the size class of the smaller set; never falling
-    class_least = [min(ceil((threshold if m <= k * threshold else floor) * m - 1e-9) for m in range(min(1 << b, k), min(2 << b, k + 1))) for b in range(k.bit_length())]
-    classes = [max(1, min(common, *(o // common for o in class_least[b:]))) for b in range(len(class_least))]
+    # o values at least are shared: of sets that are whole in their sketches, as many as the threshold asks for
+    shared_least = lambda m: min(ceil(threshold * m - 1e-9), ceil(floor * k - 1e-9))
+    # how many values of their prefixes a pair shares, by the size class of the smaller set
+    classes = [max(1, min(common, shared_least(min(1 << b, k)) // 3)) for b in range(k.bit_length())]
     least = lambda b: F.array(*[F.lit(c) for c in classes])[F.least(b, F.lit(len(classes) - 1))]
     # 40 bits of a hash are enough for a list: two values in one only make more candidates
     values = sketches.select("t", F.explode(F.array_distinct(F.transform("sketch", lambda x: x.bitwiseAND((1 << 40) - 1)))).alias("v"))
@@ -156,9 +190,10 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
     per_text = values.join(counts, "v").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     b, m = F.length(F.bin("size")) - 1, F.least("size", F.lit(k))
     # values that no other text retains are the rarest: they stand first and take up places
-    place = m - shared_least(m) + least(b) - (m - F.size("values"))
-    placed = per_text.join(sketches.select("t", "size"), "t").withColumn("place", place).filter("place > 0")
-    placed = shared_table(placed.select("t", b.alias("b"), "size", F.transform(F.slice("values", 1, F.col("place")), lambda x: x["v"]).alias("values")), "index")
+    place = m - F.array(*[F.lit(shared_least(i)) for i in range(k + 1)])[m] + least(b) - (m - F.size("values"))
+    placed = per_text.join(sketches.select("t", "size"), "t").withColumn("place", place).filter("place > 0").withColumn("values", F.slice("values", 1, F.col("place")))
+    held = lambda keep: F.transform(F.filter("values", keep), lambda x: x["v"])
+    placed = shared_table(placed.select("t", b.alias("b"), "size", held(lambda x: x["df"] <= LONG_LIST).alias("short"), held(lambda x: x["df"] > LONG_LIST).alias("long")), "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
@@ -178,32 +213,22 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
         discard(sets)
         return links
 
-    index = placed.select("t", "b", F.explode("values").alias("v"))
-    heads = index.groupBy("v", "b").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spokes = index.join(heads, ["v", "b"]).filter("first < t").groupBy(F.col("first").alias("a"), F.col("t").alias("b"), F.col("b").alias("k")).count()
+    # short lists fit a task, which finds their aggregates by windows; those of long ones are partial aggregates, joined back
+    short, long = (placed.select("t", "b", F.explode(c).alias("v")) for c in ("short", "long"))
+    firsts = short.withColumn("first", F.min("t").over(W.partitionBy("v", "b")))
+    firsts = firsts.union(long.join(long.groupBy("v", "b").agg(F.min("t").alias("first")), ["v", "b"]).select(firsts.columns))
+    spokes = firsts.filter("first < t").groupBy(F.col("first").alias("a"), F.col("t").alias("b"), F.col("b").alias("k")).count()
     star = cut(spokes.filter(F.col("count") >= least(F.col("k"))).select("a", "b"))
     links = verified(star)
     groups = components(links)
 
-    # list k of a value has the texts of class k and those that are not too large for them
-    member = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), F.explode("values").alias("v"))
-    several = member.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-    reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("k")
-    member = shared_table(member.join(several, "v").select("v", reach, "t", "b", "size", "c"), "lists")
-    each = member.groupBy("v", "k", "c").agg(F.count(F.lit(1)).alias("n"))
-    lists = each.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi").select("v", "k", "big")
-    listed = member.join(lists, ["v", "k"])
-    # of any two texts in different components, one at least is outside the largest one
-    x = listed.filter("c <> big").select("v", "k", F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
-    y = listed.select("v", "k", F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
-    # where both are outside, the pair meets twice in the join and counts once; and it counts in the smaller one's class
-    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")
-    met = x.join(y, ["v", "k"]).filter("cx <> cy and (cy = big or x < y) and least(bx, by) = k").filter(fits)
-    across = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "k").count().filter(F.col("count") >= least(F.col("k"))).select("a", "b")
+    members = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), "short", "long")
+    met = _across(members.withColumn("v", F.explode("short")), threshold).union(_across_long(members.withColumn("v", F.explode("long")), threshold))
+    across = met.groupBy("a", "b", "k").count().filter(F.col("count") >= least(F.col("k"))).select("a", "b")
     more = verified(across.join(star, ["a", "b"], "left_anti"))
     groups = components(links.union(more)).withColumnRenamed("node", "t").withColumnRenamed("component", "c")
     found = cut(texts.select("t", "digest").join(groups, "t", "left").select("digest", F.coalesce("c", "t").alias("c")))
-    discard(texts, placed, member)
+    discard(texts, placed)
     return found
 
 

@@ -130,6 +130,12 @@ def test_short_texts_with_a_common_pair_of_words(spark):
     assert got == {x: (a, 2, x == a) for a, b in pairs for x in (a, b)} and time.time() - began < 60
 
 
+def test_long_lists_give_the_same(spark, monkeypatch):
+    docs = corpus(7)
+    monkeypatch.setattr(minhash, "LONG_LIST", 3)
+    assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
+
+
 def test_sizes_around_powers_of_two(spark):
     """Sets of n and 2n n-grams of which one holds the other have a similarity of just a half."""
     docs = []
