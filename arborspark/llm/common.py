@@ -53,9 +53,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: survives lost executors, prunes columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects the driver's garbage, upon which Spark deletes the shuffle files of finished steps; else executors' disks keep them until the driver runs short of memory."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``shared_table`` wrote; for tables that nothing reads any more."""
     for table in tables:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from arborspark.llm.common import chunks, cut, discard, mix, shared_table, small, span_hashes, string_buffers, word_spans
+from arborspark.llm.common import chunks, cut, discard, mix, release, shared_table, small, span_hashes, string_buffers, word_spans
 
 #: Members from which on a list of texts is never handled by one task.
 LONG_LIST = 4096
@@ -172,7 +172,7 @@ def _across_long(member: DataFrame, threshold: float) -> DataFrame:
     return _pairs(member.filter("c <> big"), member, ["v", "list"], threshold).filter("list = k").select("a", "b", "k")
 
 
-def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 6) -> DataFrame:
+def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
     """(digest, c): the component of every different text of (doc_id, digest, lower); a text without links is one of its own."""
     floor = threshold - slack
     rows = _sketches(docs.select("doc_id", "lower", "digest"), n, k).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -200,6 +200,7 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
         near = sketches.select(F.col("t").alias("a"), F.col("sketch").alias("sa"))
         far = sketches.select(F.col("t").alias("b"), F.col("sketch").alias("sb"))
         estimated = cut(pairs.join(near, "a").join(far, "b").filter(union_estimate(F.col("sa"), F.col("sb"), k) >= floor).select("a", "b").distinct())
+        release(docs.sparkSession)
         ids = estimated.select(F.col("a").alias("t")).union(estimated.select("b")).distinct().join(texts.select("t", "doc_id", "digest"), "t")
         sets = shared_table(_shingles(docs.join(small(ids), ["doc_id", "digest"]).select("t", "lower"), n), "shingles")
         if sets.count() > ids.count():  # rows that repeat an id and a text
@@ -219,13 +220,17 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
     firsts = firsts.union(long.join(long.groupBy("v", "b").agg(F.min("t").alias("first")), ["v", "b"]).select(firsts.columns))
     spokes = firsts.filter("first < t").groupBy(F.col("first").alias("a"), F.col("t").alias("b"), F.col("b").alias("k")).count()
     star = cut(spokes.filter(F.col("count") >= least(F.col("k"))).select("a", "b"))
+    release(docs.sparkSession)
     links = verified(star)
     groups = components(links)
+    release(docs.sparkSession)
 
     members = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), "short", "long")
     met = _across(members.withColumn("v", F.explode("short")), threshold).union(_across_long(members.withColumn("v", F.explode("long")), threshold))
     across = met.groupBy("a", "b", "k").count().filter(F.col("count") >= least(F.col("k"))).select("a", "b")
-    more = verified(across.join(star, ["a", "b"], "left_anti"))
+    across = cut(across.join(star, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
+    more = verified(across)
     groups = components(links.union(more)).withColumnRenamed("node", "t").withColumnRenamed("component", "c")
     found = cut(texts.select("t", "digest").join(groups, "t", "left").select("digest", F.coalesce("c", "t").alias("c")))
     discard(texts, placed)
