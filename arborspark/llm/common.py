@@ -70,6 +70,15 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``part`` and ``place``: the number of the range of ``order`` that a row is in, and its place there, from 0; written to the shared folder.
+
+    Ranges are shuffled by sampled bounds, so that none is large as long as not too many rows agree in all of ``order``.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return shared_table(rows.select(*df.columns, F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("place")), "ordered")
+
+
 def small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """``df`` marked for a broadcast if its rows have at most ``most_bytes``, measured; as it is beyond that, for a shuffled join."""
     lengths = [F.octet_length(F.col(c)) for c, kind in df.dtypes if kind in ("string", "binary")]

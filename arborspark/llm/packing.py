@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Ids per chunk for the two-level numbering of rows.
-CHUNK = 1 << 20
+from arborspark.llm.common import discard, ordered, shared_table, small
 
 
 def word_count(text: Column) -> Column:
@@ -68,13 +67,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     budget is a batch of its own.  Batches are numbered within their bucket.
 
     - A null or empty text has length 0 and goes to the first bucket; a null id sorts first.
+    - Ids are of any type that has an order; those of whole numbers may be sparse or hashes.
     - Repeated rows each take a slot; ties of id and length are interchangeable.
     - No rows in, no rows out.  Other columns are ignored, whatever their names.
 
-    Only the histogram, one row for each different length, reaches the driver.  Rows are numbered in two
-    levels, inside chunks of ids and over the chunks' counts, so no task handles a whole bucket.
+    Texts are read once, for their lengths.  Only the histogram, one row for each different length, reaches the
+    driver.  Rows are sorted by ranges and numbered by their place in the range and the ranges before it, so no task handles a
+    whole bucket.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), (word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("bigint")).alias("n_tokens"))
+    n_tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("bigint")
+    rows = shared_table(docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("n_tokens")), "lengths")
     histogram = sorted(tuple(r) for r in rows.groupBy("n_tokens").count().collect())
     bounds = optimal_boundaries(np.array([x[0] for x in histogram], np.int64), np.array([x[1] for x in histogram], np.int64), buckets)
     bounds = bounds or [0]
@@ -82,15 +84,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
         edge = F.when(F.col("n_tokens") <= bounds[k], F.lit(bounds[k]).cast("bigint")).otherwise(edge)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", edge).withColumn("chunk", F.floor(F.col("doc_id") / CHUNK))
-    inside = W.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")
-    rows = rows.withColumn("rank", F.row_number().over(inside) - 1)
-    counts = rows.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(F.col("bucket").alias("b"), F.col("chunk").alias("ch"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.col("rank") + F.col("start")
+    # the last column splits even rows that agree in id and length
+    placed = ordered(rows.select("doc_id", "n_tokens", bucket.alias("bucket"), edge.alias("bucket_len"), F.monotonically_increasing_id().alias("row")), "bucket", "doc_id", "n_tokens", "row")
+    discard(rows)
+    counts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("low"))
+    before = W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("bucket", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("start"))
+    rank = F.col("place") + F.col("start")
     fits = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
-    return rows.join(starts, (F.col("bucket") == F.col("b")) & F.col("chunk").eqNullSafe(F.col("ch"))).select(
+    return placed.join(small(starts), ["bucket", "part"]).select(
         "doc_id", "n_tokens", F.col("bucket").cast("int").alias("bucket"), "bucket_len", F.floor(rank / fits).cast("bigint").alias("batch"), F.pmod(rank, fits).cast("bigint").alias("slot")
     )
 

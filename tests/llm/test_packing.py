@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from cases import empty, odd
 
 from arborspark.llm import packing
@@ -24,7 +25,7 @@ def test_boundaries_are_optimal():
 
 def brute(docs, bounds, budget):
     out, at = [], {}
-    for doc_id, n in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for doc_id, n in sorted(docs, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1])):
         k = next(i for i, b in enumerate(bounds) if n <= b)
         fits = max(1, budget // max(bounds[k], 1))
         i = at.setdefault(k, 0)
@@ -42,6 +43,22 @@ def test_against_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(lengths, packing.optimal_boundaries(sizes, counts, 4), 300)
 
 
+@pytest.mark.parametrize("kind", ["hashed", "string", "one"])
+def test_any_ids(spark, kind):
+    """64-bit hashes, strings, and one id for all rows."""
+    rng = random.Random(3)
+    ids = {"hashed": lambda i: rng.randrange(-(2**63), 2**63), "string": lambda i: f"doc-{rng.random()}", "one": lambda i: 7}[kind]
+    docs = [(ids(i), "w " * rng.choice([0, 1, 3, 10, 50, 200])) for i in range(3000)]
+    placed = packing.pack(spark.createDataFrame(docs, f"doc_id {'string' if kind == 'string' else 'bigint'}, text string"), buckets=3, token_budget=300)
+    lengths = [(d, len(t.split())) for d, t in docs]
+    sizes, counts = np.unique([n for _, n in lengths], return_counts=True)
+    if kind == "one":
+        out = sorted(tuple(r)[1:] for r in placed.collect())
+        assert out == sorted(r[1:] for r in brute(lengths, packing.optimal_boundaries(sizes, counts, 3), 300))
+    else:
+        assert sorted((tuple(r) for r in placed.collect()), key=repr) == brute(lengths, packing.optimal_boundaries(sizes, counts, 3), 300)
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = packing.pack(df, token_budget=1000)
