@@ -51,11 +51,17 @@ def remote_branch(line: Column) -> Column:
     return F.when(name != "", name)
 
 
-def branches(lines: DataFrame, current: str, line_col: str = "line", order_col: str = "n") -> DataFrame:
-    """(name, is_active, is_remote, position): branches without repeats (in any case, the first stays), the current one first."""
+def branches(lines: DataFrame, current: str, local: DataFrame | None = None, line_col: str = "line", order_col: str = "n") -> DataFrame:
+    """(name, is_active, is_remote, position): branches without repeats (in any case, the first stays), the current one first.
+
+    ``local`` (name) has the branches that exist here; others, or all without it, are remote only.
+    """
     named = lines.select(remote_branch(F.col(line_col)).alias("name"), F.col(order_col).alias("n")).filter("name is not null")
     first = named.groupBy(F.upper("name").alias("key")).agg(F.min_by("name", "n").alias("name"))
-    rows = first.select("name", (F.col("key") == current.upper()).alias("is_active"), F.lit(True).alias("is_remote"))
+    here = F.lit(None)
+    if local is not None:
+        first, here = first.join(local.select(F.upper("name").alias("key"), F.lit(True).alias("here")).distinct(), "key", "left"), F.col("here")
+    rows = first.select("name", (F.col("key") == current.upper()).alias("is_active"), here.isNull().alias("is_remote"))
     return rows.withColumn("position", F.row_number().over(W.orderBy(F.desc("is_active"), F.upper("name"), "name")))
 
 

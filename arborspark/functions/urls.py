@@ -68,12 +68,20 @@ def archive_url(url: Column, branch: str = "main") -> Column:
     return F.when((owner != "") & (repo != ""), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit(f"/archive/refs/heads/{branch}.zip")))
 
 
-def without_top_folder(entry: Column) -> Column:
-    """An archive entry's path below its top folder, null for the folder itself."""
-    rest = F.regexp_replace(F.translate(entry, "\\", "/"), r"^[^/]*/?", "")
+def without_top_folder(entry: Column, top: Column) -> Column:
+    """An archive entry's path below the archive's top folder, null for the folder itself; entries elsewhere, or of an archive without one, keep theirs."""
+    path = F.translate(entry, "\\", "/")
+    below = F.startswith(path, F.concat(top, F.lit("/")))
+    rest = F.when(F.coalesce(below, F.lit(False)), F.substr(path, F.length(top) + 2)).otherwise(path)
     return F.when(rest != "", rest)
 
 
+def archive_urls(url: Column) -> Column:
+    """The addresses to try one after the other: of the branch main, then of master; null for URLs without an archive."""
+    first = archive_url(url)
+    return F.when(first.isNotNull(), F.array(first, archive_url(url, "master")))
+
+
 def export_name(title: Column, suffix: str, extension: str) -> Column:
     """``<title>_<suffix>.<extension>`` for an exported file; characters that names can't have become '_'."""
     base = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "project").otherwise(title)

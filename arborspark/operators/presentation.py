@@ -98,6 +98,18 @@ def lookup(value: Column, key: Column) -> Column:
     return F.coalesce(value, F.concat(F.lit("[["), key, F.lit("]]")))
 
 
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(language, key, text) of a folder's JSON files, each an object of texts and named after its language; a byte-order mark is left out."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.lower(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json\z", 1)).alias("language"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("json"))
+    return files.select("language", F.explode(F.from_json("json", "map<string,string>")).alias("key", "text"))
+
+
+def localised(keys: DataFrame, texts: DataFrame, language: str, fallback: str = "en") -> DataFrame:
+    """``keys`` (key, …) with ``text``: of the language, else of the fallback, else the key in double brackets."""
+    wanted = texts.filter(F.col("language").isin(language, fallback)).groupBy("key").agg(F.min_by("text", F.col("language") != language).alias("_text"))
+    return keys.join(wanted, "key", "left").withColumn("text", lookup(F.col("_text"), F.col("key"))).drop("_text")
+
+
 LANGUAGES = {"ru": "ru", "en": "en", "uz": "uz", "tg": "tg", "kk": "kk", "fr": "fr", "de": "de", "it": "it"}
 
 

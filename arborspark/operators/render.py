@@ -105,21 +105,31 @@ def file_block(label: Column, text: Column, size: Column) -> Column:
     return F.concat(label, F.lit(":\n" + T.NBSP + "\n"), body, F.lit("\n"))
 
 
-def content_blocks(files: DataFrame, *by: str, label: Callable[[Column], Column] | None = None) -> DataFrame:
+def shown_path(label: Callable[[Column], Column] | None) -> Column:
+    """What a mapping of paths gives; the path where it gives nothing, and everywhere if it raises."""
+    path = F.col("path")
+    try:
+        return path if label is None else F.coalesce(F.when(F.trim(label(path)) != "", label(path)), path)
+    except Exception:  # the mapping is the caller's
+        return path
+
+
+def content_blocks(files: DataFrame, *by: str, label: Callable[[Column], Column] | None = None, order: str | None = None) -> DataFrame:
     """``files`` (path, text, size) once for each path, with ``is_first`` of its project and ``block``; blocks after the first begin with a separator.
 
-    ``label`` maps paths to what the headers show; where it gives nothing, the path stays.
+    Of files that share a path the first by ``order`` counts, without it the one of the least text.  ``label`` maps paths to
+    what the headers show.
     """
-    shown = F.col("path") if label is None else F.coalesce(F.when(F.trim(label(F.col("path"))) != "", label(F.col("path"))), F.col("path"))
-    unique = files.filter(F.trim("path") != "").dropDuplicates([*by, "path"])
+    shown = shown_path(label)
+    unique = files.filter(F.trim("path") != "").groupBy(*by, "path").agg(F.min_by(F.struct("text", "size"), F.col(order or "text")).alias("_first")).select(*by, "path", "_first.text", "_first.size")
     first = F.row_number().over(W.partitionBy(*by).orderBy("path")) == 1 if by else F.row_number().over(W.orderBy("path")) == 1
     gap = f"{T.NBSP}\n{T.NBSP}\n"
     return unique.withColumn("is_first", first).withColumn("block", F.concat(F.when(F.col("is_first"), "").otherwise(gap), file_block(shown, F.col("text"), F.col("size"))))
 
 
-def content_document(files: DataFrame, *by: str, label: Callable[[Column], Column] | None = None) -> DataFrame:
+def content_document(files: DataFrame, *by: str, label: Callable[[Column], Column] | None = None, order: str | None = None) -> DataFrame:
     """(…by, document): the files of each project in the order of their paths."""
-    blocks = content_blocks(files, *by, label=label)
+    blocks = content_blocks(files, *by, label=label, order=order)
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "block"))), lambda x: x["block"]), "")
     return blocks.groupBy(*by).agg(F.regexp_replace(ordered, r"[\r\n]+\z", "").alias("document"))
 

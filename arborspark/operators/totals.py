@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from arborspark.functions import text as T
 from arborspark.operators.render import EMPTY_MARK
@@ -21,9 +20,10 @@ def measured(files: DataFrame, path_col: str = "path", text_col: str = "text") -
 
 
 def first_of_each_path(files: DataFrame, order_col: str, *by: str) -> DataFrame:
-    """Without blank paths; of files that share a path the first stays."""
-    w = W.partitionBy(*by, "path").orderBy(order_col)
-    return files.filter(F.trim("path") != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Without blank paths; of files that share a path the first stays.  A partial aggregate: give it measures rather than texts where these are all that is needed."""
+    rest = [c for c in files.columns if c not in (*by, "path")]
+    first = files.filter(F.trim("path") != "").groupBy(*by, "path").agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
+    return first.select(*[F.col(c) if c in (*by, "path") else F.col("_first")[c].alias(c) for c in files.columns])
 
 
 def _terms() -> tuple[Column, Column]:

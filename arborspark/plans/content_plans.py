@@ -23,7 +23,7 @@ _UNIQUE = f"with uniq as (select path, arg_min(text, doc_id) as t from ({DOC_FIL
 
 def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = doc_files(spark, sf_dir).filter(~T.has_binary_extension(F.col("name")))
-    return totals.measured(totals.first_of_each_path(files, "doc_id").select("path", "text")).drop("text")
+    return totals.first_of_each_path(totals.measured(files.select("path", "doc_id", "text")).drop("text"), "doc_id").drop("doc_id")
 
 
 @query(f"{_UNIQUE}, {_TERMS} select n_files, {_SUMS} from (select count(*) as n_files, sum(c)::bigint as c, sum(b)::bigint as b from terms)")
@@ -36,21 +36,30 @@ def q_content_totals_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.content_totals(_text_files(spark, sf_dir).withColumn("directory", paths.parent(F.col("path"))), "directory")
 
 
-_BLOCKS = f"""with sized as (select conv_id, path, text as t from ({CONV_FILES})),
+#: Files of which those of even turns come twice, the second time with another text; the first one counts.
+_TWICE = f"select conv_id, path, text, 0 as n from ({CONV_FILES}) union all select conv_id, path, 'again ' || text, 1 from ({CONV_FILES}) where regexp_matches(path, '/[0-9]*[02468]_')"
+_BLOCKS = f"""with sized as (select conv_id, path, arg_min(text, n) as t from ({_TWICE}) group by conv_id, path),
 blocks as (select conv_id, path, row_number() over (partition by conv_id order by path) = 1 as is_first,
     path || ':' || chr(10) || chr(160) || chr(10) || case when t = '' then '[No Content, 0 bytes]' when {BLANK} then {_MARK} else regexp_replace(t, '[\\r\\n]+$', '') end || chr(10) as body from sized),
 whole as (select conv_id, path, is_first, case when is_first then '' else chr(160) || chr(10) || chr(160) || chr(10) end || body as block from blocks),
 docs as (select conv_id, regexp_replace(string_agg(block, '' order by path), '[\\r\\n]+$', '') as document from whole group by conv_id)"""
 
 
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = conv_files(spark, sf_dir)
+    again = F.concat(F.lit("again "), "text")
+    second = files.filter(F.col("path").rlike("/[0-9]*[02468]_")).select("conv_id", "path", again.alias("text"), F.octet_length(again).cast("bigint").alias("size"), F.lit(1).alias("n"))
+    return files.withColumn("n", F.lit(0)).unionByName(second)
+
+
 @query(f"{_BLOCKS} select conv_id, path, is_first, md5(block) as block_hash from whole")
 def q_content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.content_blocks(conv_files(spark, sf_dir), "conv_id").select("conv_id", "path", "is_first", F.md5("block").alias("block_hash"))
+    return render.content_blocks(_twice(spark, sf_dir), "conv_id", order="n").select("conv_id", "path", "is_first", F.md5("block").alias("block_hash"))
 
 
 @query(f"{_BLOCKS} select conv_id, md5(document) as document_hash from docs")
 def q_content_document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.content_document(conv_files(spark, sf_dir), "conv_id").select("conv_id", F.md5("document").alias("document_hash"))
+    return render.content_document(_twice(spark, sf_dir), "conv_id", order="n").select("conv_id", F.md5("document").alias("document_hash"))
 
 
 _LINES = "(length(t) - length(replace(t, chr(10), '')) + case when regexp_matches(t, '[\\r\\n]$') then 0 else 1 end)::bigint"
@@ -90,9 +99,9 @@ def q_export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("conv_id", urls.export_name(F.concat(F.lit("Talk/"), F.col("conv_id").cast("string")), "content", "txt").alias("file_name"))
 
 
-@query(f"select path, strlen(text)::bigint as size_bytes from (select path, arg_min(text, doc_id) as text from ({DOC_FILES}) group by path) where ends_with(path, '.csproj')")
+@query(f"select path, strlen(text)::bigint as size_bytes from (select path, arg_min(text, doc_id) as text from ({DOC_FILES}) group by path)")
 def q_cached_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files joined with measures kept for their paths; those without any are left out."""
-    files = with_directories(doc_files(spark, sf_dir)).filter("not is_dir").filter(F.endswith("path", F.lit(".csproj")))
-    kept = totals.measured(totals.first_of_each_path(doc_files(spark, sf_dir), "doc_id").select("path", "text")).select("path", "size_bytes")
+    files = with_directories(doc_files(spark, sf_dir)).filter("not is_dir")
+    kept = totals.first_of_each_path(totals.measured(doc_files(spark, sf_dir).select("path", "doc_id", "text")).select("path", "doc_id", "size_bytes"), "doc_id").drop("doc_id")
     return totals.from_cache(files, kept)

@@ -193,5 +193,5 @@ def q_visible_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an export of each host's visible pages would cost; without rendering, and with one shuffle for repeated paths and one for hosts."""
     path = F.col("path")
     keep = ~visibility.skips_file(VISIBLE_PAGES, path) & visibility.reachable(VISIBLE_PAGES, path)
-    files = totals.first_of_each_path(page_files(spark, sf_dir).filter(keep), "page_id").select("path", F.col("html").alias("text"))
-    return totals.content_totals(totals.measured(files).withColumn("host", paths.root_segment(path)), "host")
+    files = totals.measured(page_files(spark, sf_dir).filter(keep).select("path", "page_id", F.col("html").alias("text"))).drop("text")
+    return totals.content_totals(totals.first_of_each_path(files, "page_id").withColumn("host", paths.root_segment(path)), "host")

@@ -180,16 +180,13 @@ def q_match_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("path", search.cursor(F.col("match"), 1, F.col("n")).cast("int").alias("next"), search.cursor(F.col("match"), -1, F.col("n")).cast("int").alias("previous"))
 
 
-@query("""select p_partkey, list_transform(regexp_extract_all(p_name, '(?i)(er)|[^eE]+|[eE][^rR]|[eE]$', 0), lambda x: x) as pieces, len(regexp_extract_all(p_name, '(?i)er'))::int as n_matches from part""")
+@query("select p_partkey, regexp_replace(p_name, '(er)', '<\\1>', 'gi') as marked from part")
 def q_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of each name that match 'er' and that don't; put together by kind of piece for the comparison."""
-    runs = search.highlight(F.col("p_name"), "er")
-    pieces = F.regexp_extract_all("p_name", F.lit("(?i)(er)|[^eE]+|[eE][^rR]|[eE]$"), 0)
+    """The runs of each name that match 'er' and that don't, put together with marks around the matching ones."""
+    runs = F.transform(search.highlight(F.col("p_name"), "er"), lambda x: F.when(x["is_match"], F.concat(F.lit("<"), x["text"], F.lit(">"))).otherwise(x["text"]))
     from arborspark.plans.tables import table
 
-    # the runs give back the name, and as many of them match as the name has matches
-    whole = F.array_join(F.transform(runs, lambda x: x["text"]), "") == F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(whole, pieces).alias("pieces"), F.size(F.filter(runs, lambda x: x["is_match"])).alias("n_matches"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(runs, "").alias("marked"))
 
 
 _ICONS = ", ".join(f"({quoted(w)}, {quoted(i)})" for i, ws in presentation.BY_NAME.items() for w in ws.split())

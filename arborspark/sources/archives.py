@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from arborspark.functions.urls import without_top_folder
 
-ENTRIES = "archive string, entry string, is_dir boolean, size bigint, content binary"
+ENTRIES = "archive string, top string, entry string, is_dir boolean, size bigint, content binary"
 
 
 def zip_entries(archives: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(archive, entry, path, is_dir, size, content) of a table of archives; one that isn't a ZIP file has no entries.
+    """(archive, top, entry, path, is_dir, size, content) of a table of archives; one that isn't a ZIP file has no entries.
 
-    ``path`` is the entry's path below the archive's top folder, null for the top folder itself.
+    ``top`` is the folder of the first entry that has one; ``path`` is the entry's path below it, null for the top folder
+    itself.  What lies beside the top folder keeps its whole path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,14 +29,15 @@ def zip_entries(archives: DataFrame, path_col: str = "path", content_col: str =
                     opened = zipfile.ZipFile(io.BytesIO(data.as_py() or b""))
                 except zipfile.BadZipFile:
                     continue
+                top = next((f[: f.index("/")] for f in (i.filename for i in opened.infolist()) if f.find("/") > 0), None)
                 for info in opened.infolist():
                     content = None if info.is_dir() else opened.read(info)
                     yield pa.RecordBatch.from_pydict(
-                        {"archive": [archive], "entry": [info.filename], "is_dir": [info.is_dir()], "size": pa.array([info.file_size], pa.int64()), "content": pa.array([content], pa.binary())}
+                        {"archive": [archive], "top": pa.array([top], pa.string()), "entry": [info.filename], "is_dir": [info.is_dir()], "size": pa.array([info.file_size], pa.int64()), "content": pa.array([content], pa.binary())}
                     )
 
     found = archives.select(F.col(path_col).alias("archive"), F.col(content_col).alias("content")).mapInArrow(run, ENTRIES)
-    return found.withColumn("path", without_top_folder(F.col("entry")))
+    return found.withColumn("path", without_top_folder(F.col("entry"), F.col("top")))
 
 
 def read_zips(spark: SparkSession, location: str) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import subprocess
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.error import HTTPError
+from urllib.request import urlopen
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,32 @@ def current_branch(folder: str) -> str | None:
     return None if name in ("", "HEAD") else name
 
 
+def local_branches(folder: str) -> list[str]:
+    return [x for x in git("for-each-ref", "--format=%(refname:short)", "refs/heads", cwd=folder).output.splitlines() if x.strip()]
+
+
+def fetch(url: str, target: str) -> None:
+    """Writes what is at an address to a file; raises ``urllib.error.HTTPError`` with the server's code."""
+    with urlopen(url, timeout=600) as source, open(target, "wb") as out:  # noqa: S310
+        shutil.copyfileobj(source, out)
+
+
+def download(addresses: list[str], target: str, fetch: Callable[[str, str], None] = fetch) -> str | None:
+    """The first of the addresses that is there (the archives of main and master, say), written to ``target``; None if none is.
+
+    Only a missing file (code 404) leads to the next address; other errors are raised.
+    """
+    for url in addresses:
+        try:
+            fetch(url, target)
+        except HTTPError as e:
+            if e.code != 404:
+                raise
+            continue
+        return url
+    return None
+
+
 def head(folder: str) -> str | None:
     return git("rev-parse", "HEAD", cwd=folder).output.strip() or None
 

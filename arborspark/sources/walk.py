@@ -34,6 +34,7 @@ class WalkReader(DataSourceReader):
         self.content = options.get("content", "false") == "true"
         self.max_bytes = int(options.get("max_bytes", str(10 * 1024 * 1024)))
         self.prune = frozenset(x.lower() for x in json.loads(options.get("prune", "[]")))
+        self.with_root = options.get("with_root", "false") == "true"
         self.prune_dot = options.get("prune_dot", "false") == "true"
 
     def _skips(self, name: str) -> bool:
@@ -50,7 +51,7 @@ class WalkReader(DataSourceReader):
             return []
 
     def partitions(self) -> list[Subtree]:
-        parts, level = [], [""]
+        parts, level = ([] if self.split_depth else [Subtree("", False)]), [""]
         for _ in range(self.split_depth):
             parts += [Subtree(d, False) for d in level]
             level = [f"{d}/{e.name}" if d else e.name for d in level for e in self._list(d) or [] if e.is_dir(follow_symlinks=False) and not self._skips(e.name)]
@@ -58,6 +59,8 @@ class WalkReader(DataSourceReader):
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         todo = [partition.directory]
+        if self.with_root and not partition.deep and partition.directory == "" and os.path.isdir(self.root):
+            yield "", os.path.basename(os.path.abspath(self.root)), None, 0, True, 0, None, not can_read(self.root), None
         while todo:
             directory = todo.pop()
             for entry in self._list(directory) or []:
@@ -71,7 +74,7 @@ class WalkReader(DataSourceReader):
                     continue
                 denied, content = False, None
                 if is_dir:
-                    denied = not os.access(entry.path, os.R_OK | os.X_OK)
+                    denied = not os.access(entry.path, os.R_OK | os.X_OK) or not can_read(entry.path)
                     if partition.deep:
                         todo.append(path)
                 elif self.content and info.st_size <= self.max_bytes:
@@ -96,10 +99,14 @@ class WalkSource(DataSource):
         return WalkReader(self.options)
 
 
-def walk(spark: SparkSession, root: str, content: bool = False, prune: list[str] | None = None, prune_dot: bool = False, split_depth: int = 2) -> DataFrame:
-    """All entries below ``root``, which every executor must see; ``content`` reads files of up to 10 MiB, larger ones are null."""
+def walk(spark: SparkSession, root: str, content: bool = False, prune: list[str] | None = None, prune_dot: bool = False, split_depth: int = 2, with_root: bool = False) -> DataFrame:
+    """All entries below ``root``, which every executor must see.
+
+    ``content`` reads files of up to 10 MiB, larger ones are null.  A directory whose listing fails for want of permission is
+    marked as denied; ``with_root`` adds the root as a row of its own, whose path is empty, which can be denied too.
+    """
     spark.dataSource.register(WalkSource)
-    flags = {"content": str(content).lower(), "prune": json.dumps(prune or []), "prune_dot": str(prune_dot).lower(), "split_depth": str(split_depth)}
+    flags = {"content": str(content).lower(), "prune": json.dumps(prune or []), "prune_dot": str(prune_dot).lower(), "split_depth": str(split_depth), "with_root": str(with_root).lower()}
     return spark.read.format("tree_walk").options(**flags).load(root)
 
 

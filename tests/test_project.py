@@ -3,10 +3,13 @@
 import os
 import subprocess
 import zipfile
+from urllib.error import HTTPError
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborspark import cli
+from arborspark.operators import facets, presentation
 from arborspark.operators.scopes import Requested
 from arborspark.operators.visibility import Options
 from arborspark.plans.project import Project
@@ -96,6 +99,68 @@ def test_zip(spark, tmp_path):
     assert {(r.path, r.is_dir, r.size) for r in rows} == {(None, True, 0), ("src/a.txt", False, 5)}
 
 
+def test_zip_with_two_top_folders(spark, tmp_path):
+    """The first folder is the top one; what lies beside it keeps its path."""
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        for name in ("root.txt", "one/a.txt", "two/b.txt", "onemore/c.txt"):
+            z.writestr(name, "x")
+    assert {r.path for r in archives.read_zips(spark, str(tmp_path / "r.zip")).collect()} == {"root.txt", "a.txt", "two/b.txt", "onemore/c.txt"}
+
+
+def test_download_tries_master_after_main(tmp_path):
+    tried = []
+
+    def fetch(url, target):
+        tried.append(url)
+        if "main" in url:
+            raise HTTPError(url, 404, "not found", None, None)
+        if "broken" in url:
+            raise HTTPError(url, 500, "broken", None, None)
+        (tmp_path / target).write_text("zip")
+
+    assert repositories.download(["x/main", "x/master"], "z", fetch) == "x/master" and tried == ["x/main", "x/master"]
+    assert repositories.download(["x/main"], "z", fetch) is None
+    with pytest.raises(HTTPError):
+        repositories.download(["broken", "x/master"], "z", fetch)
+
+
+def test_denied_directories(spark, tmp_path):
+    """Listing fails inside tasks, for a directory and for the root; root users are denied nothing, so the scan is made to fail."""
+    make(tmp_path, {"open/a.txt": "a", "shut/b.txt": "b"})
+
+    def run(denied):
+        reader = walk.WalkReader({"path": str(tmp_path), "with_root": "true", "split_depth": "1"})
+        real = os.scandir
+
+        def scandir(path):
+            if str(path).rstrip("/") == denied:
+                raise PermissionError(path)
+            return real(path)
+
+        os.scandir = scandir
+        try:
+            return sorted((r for part in reader.partitions() for r in reader.read(part)), key=lambda r: r[0])
+        finally:
+            os.scandir = real
+
+    rows = {r[0]: r[7] for r in run(str(tmp_path / "shut"))}
+    assert rows == {"": False, "open": False, "open/a.txt": False, "shut": True}
+    rows = {r[0]: r[7] for r in run(str(tmp_path))}
+    assert rows == {"": True}
+    nodes = walk.walk(spark, str(tmp_path), with_root=True)
+    assert paths(nodes) == {"", "open", "open/a.txt", "shut", "shut/b.txt"}
+    assert tuple(facets.readable_flags(nodes).first()) == (False, False)
+    assert tuple(facets.readable_flags(nodes.withColumn("access_denied", F.col("path") == "")).first()) == (True, True)
+
+
+def test_catalogues(spark, tmp_path):
+    (tmp_path / "en.json").write_text('\ufeff{"a": "Open", "b": "Close"}', encoding="utf-8")
+    (tmp_path / "de.json").write_text('{"a": "Öffnen"}', encoding="utf-8")
+    texts = presentation.catalogue(spark, str(tmp_path))
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    assert {tuple(r) for r in presentation.localised(keys, texts, "de").collect()} == {("a", "Öffnen"), ("b", "Close"), ("c", "[[c]]")}
+
+
 def test_repositories(tmp_path):
     origin = tmp_path / "origin"
     origin.mkdir()
@@ -109,6 +174,7 @@ def test_repositories(tmp_path):
     assert repositories.clone(f"file://{origin}", folder).success
     assert repositories.current_branch(folder) == "main" and len(repositories.head(folder)) == 40
     assert any("refs/heads/other" in x for x in repositories.branch_lines(folder))
+    assert repositories.local_branches(folder) == ["main"]
     assert repositories.switch(folder, "other").success and repositories.current_branch(folder) == "other"
     assert not repositories.clone("file:///nowhere/at/all", str(tmp_path / "no")).success
 
