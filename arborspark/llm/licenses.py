@@ -1,9 +1,10 @@
 """Licence scans: notices and licence files against templates, then inheritance from directories.
 
-A notice is a line with a trigger word; all of a file's notices together, and the whole text of a licence file, are
-compared as well.  Each is a sparse TF-IDF vector over the templates' terms, with document frequencies counted
+Compared are the whole text of a licence file, every block (lines without a blank one between) that has a trigger word, such as a
+header, and the single lines that have one and all of them together.  Each is a sparse TF-IDF vector over the templates' terms, with document frequencies counted
 over all texts of the table, and takes the licence of the template with the greatest cosine if that
-reaches a threshold.  A file without a licence inherits that of the nearest directory above it that has a licence file.
+reaches a threshold.  The whole text decides before blocks, and these before lines: a line of a licence that is like another
+one's doesn't outweigh it.  A file without a licence inherits that of the nearest directory above it that has a licence file.
 
 Weights are whole numbers (term count times thousandths of the inverse frequency), so that sums don't depend on
 their order; only the cosine itself is a fraction.
@@ -56,6 +57,8 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 TRIGGER = "(?i)licen[cs]e|copyright|rights reserved|spdx|public domain|permission|redistribut"
+#: Between blocks of lines.
+BLANK_LINE = r"\n[ \t]*\n"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 _SPLIT = "[^a-z0-9]+"
 
@@ -93,7 +96,7 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", thresh
 
     - A null text has no licence of its own but may inherit; an empty one likewise; a null path has one row and inherits nothing.
     - Rows that repeat a path are one file that has all their notices.
-    - Ties of cosine go to the first licence by name; of several licence files in a directory the greatest cosine counts.
+    - Of units of one kind the greatest cosine counts, ties go to the first licence by name; of several licence files in a directory the greatest cosine counts.
     - No rows in, no rows out.  Other columns are ignored, whatever their names.  Texts are scanned whole.
     """
     spark = docs.sparkSession
@@ -102,12 +105,15 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", thresh
     name = F.element_at(F.split("path", "/"), -1)
     is_licence = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))
-    together = F.array(F.array_join("lines", "\n"))
-    units = docs.filter("text is not null").select("path", "text", is_licence.alias("whole"), lines.alias("lines")).filter("whole or size(lines) > 0")
-    units = units.select("path", F.explode(F.array_distinct(F.concat("lines", together, F.when(F.col("whole"), F.array("text")).otherwise(F.array().cast("array<string>"))))).alias("unit"))
-    units = units.distinct().select("path", F.xxhash64("unit").alias("u"), F.explode(tokens(F.col("unit"))).alias("t"))
+    blocks = F.filter(F.split("text", BLANK_LINE), lambda x: x.rlike(TRIGGER))
+    ranked = lambda rank, units: F.transform(units, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("unit")))
+    together = F.concat("lines", F.array(F.array_join("lines", "\n")))
+    own_text = F.when(F.col("whole"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    units = docs.filter("text is not null").select("path", "text", is_licence.alias("whole"), lines.alias("lines"), blocks.alias("blocks")).filter("whole or size(lines) > 0")
+    units = units.select("path", F.explode(F.concat(ranked(0, own_text), ranked(1, F.col("blocks")), ranked(2, together))).alias("x")).select("path", "x.unit", "x.rank")
+    units = units.groupBy("path", "unit").agg(F.min("rank").alias("rank")).select("path", F.xxhash64("unit").alias("u"), "rank", F.explode(tokens(F.col("unit"))).alias("t"))
     scale = spark.createDataFrame([(t, w) for t, w in weights.items()], "t string, w bigint")
-    vectors = units.join(F.broadcast(scale), "t").groupBy("path", "u", "t", "w").count().select("path", "u", "t", (F.col("count") * F.col("w")).alias("x"))
+    vectors = units.join(F.broadcast(scale), "t").groupBy("path", "u", "rank", "t", "w").count().select("path", "u", "rank", "t", (F.col("count") * F.col("w")).alias("x"))
     entries, norms = [], []
     for k, (_, text) in enumerate(TEMPLATES):
         terms = _tokens(text)
@@ -116,11 +122,11 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", thresh
     # the templates are a constant of this module, some thousand rows
     terms = spark.createDataFrame(entries, "k int, t string, y bigint")
     norms = spark.createDataFrame(norms, "k int, licence string, ny bigint")
-    length = vectors.groupBy("path", "u").agg(F.sum(F.col("x") * F.col("x")).alias("nx"))
+    length = vectors.groupBy("path", "u", "rank").agg(F.sum(F.col("x") * F.col("x")).alias("nx"))
     dots = vectors.join(F.broadcast(terms), "t").groupBy("path", "u", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).join(F.broadcast(norms), "k")
     cosine = F.col("dot").cast("double") / F.sqrt(F.col("nx").cast("double") * F.col("ny").cast("double"))
-    scored = dots.join(length, (dots["path"].eqNullSafe(length["path"])) & (dots["u"] == length["u"])).select(dots["path"], "licence", cosine.alias("c")).filter(F.col("c") >= threshold)
-    own = scored.groupBy("path").agg(F.min(F.struct((-F.col("c")).alias("c"), "licence")).alias("best"))
+    scored = dots.join(length, (dots["path"].eqNullSafe(length["path"])) & (dots["u"] == length["u"])).select(dots["path"], "rank", "licence", cosine.alias("c")).filter(F.col("c") >= threshold)
+    own = scored.groupBy("path").agg(F.min(F.struct("rank", (-F.col("c")).alias("c"), "licence")).alias("best"))
     own = cut(own.select("path", F.col("best.licence").alias("licence"), F.floor(-F.col("best.c") * 1_000_000).cast("bigint").alias("score")))
 
     parent = F.regexp_replace("path", r"/?[^/]*\z", "")
@@ -165,13 +171,16 @@ df as (select t, count(*) as n from (select distinct path, unnest({cut_("text")}
 w as (select voc.t, 1000 + round(1000 * ln(((select count(*) from f where text is not null) + 1) / (coalesce(n, 0) + 1)))::bigint as w from voc left join df on voc.t = df.t),
 tv as (select k, licence, mt.t, count(*) * any_value(w) as y from mt join w on mt.t = w.t group by k, licence, mt.t),
 tn as (select k, licence, sum(y * y)::bigint as ny from tv group by k, licence),
-l as (select path, text, regexp_matches(string_split(path, '/')[-1], '{licence_file}', 'i') as whole, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{trigger}', 'i')) as lines from f),
-u as (select distinct path, unnest(list_concat(lines, [array_to_string(lines, chr(10))], case when whole then [text] else [] end)) as unit from l where whole or len(lines) > 0),
+l as (select path, text, regexp_matches(string_split(path, '/')[-1], '{licence_file}', 'i') as whole, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{trigger}', 'i')) as lines,
+    list_filter(regexp_split_to_array(text, '{BLANK_LINE}'), lambda x: regexp_matches(x, '{trigger}', 'i')) as blocks from f),
+k as (select path, unnest(case when whole then [text] else [] end) as unit, 0 as rank from l union all select path, unnest(blocks), 1 from l where len(lines) > 0
+    union all select path, unnest(list_concat(lines, [array_to_string(lines, chr(10))])), 2 from l where whole or len(lines) > 0),
+u as (select path, unit, min(rank) as rank from k group by path, unit),
 uv as (select path, unit, x.t, count(*) * any_value(w) as x from (select path, unit, unnest({cut_("unit")}) as t from u) x join w on x.t = w.t group by path, unit, x.t),
 un as (select path, unit, sum(x * x)::bigint as nx from uv group by path, unit),
 d as (select path, unit, k, sum(x * y)::bigint as dot from uv join tv on uv.t = tv.t group by path, unit, k),
-c as (select d.path, tn.licence, dot::double / sqrt(nx::double * ny::double) as c from d join un on d.path = un.path and d.unit = un.unit join tn on d.k = tn.k),
-o as (select path, min({{'c': -c, 'l': licence}}) as b from c where c >= {threshold} group by path),
+c as (select d.path, u.rank, tn.licence, dot::double / sqrt(nx::double * ny::double) as c from d join un on d.path = un.path and d.unit = un.unit join u on d.path = u.path and d.unit = u.unit join tn on d.k = tn.k),
+o as (select path, min({{'r': rank, 'c': -c, 'l': licence}}) as b from c where c >= {threshold} group by path),
 own as (select path, b.l as licence, floor(-b.c * 1000000)::bigint as score from o),
 homes as (select regexp_replace(path, '/[^/]*$', '') as directory, min({{'s': -score, 'l': licence}}) as b from own where regexp_matches(string_split(path, '/')[-1], '{licence_file}', 'i') group by 1),
 p as (select distinct path, regexp_replace(path, '/[^/]*$', '') as home from f),

@@ -50,6 +50,32 @@ def test_whole_licence_texts(spark):
     assert all(got[f"d/{i}"] == (None, "none", None) for i in range(20))
 
 
+HEADER = """# Copyright 2020 The Authors. All rights reserved.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+
+
+def test_blocks_decide_before_lines(spark):
+    """A header and a licence text each hold a line that alone says something else."""
+    bsd = (Path(licenses.__file__).parent / "licence_texts" / "BSD-3-Clause.txt").read_text()
+    files = [("a/x.py", HEADER + "print(1)\n"), ("b/LICENSE", "Copyright (c) 2011, Somebody Else.\nAll rights reserved.\n\n" + bsd), ("c/y.py", "words of a text\nAll rights reserved.\nand further words of it that say nothing"), *((f"d/{i}", "the words of this text and of a few others to read") for i in range(20))]
+    got = scan(spark, files)
+    assert got["a/x.py"][0] == "Apache-2.0" and got["b/LICENSE"][0] == "BSD-3-Clause" and got["c/y.py"][0] == "Proprietary"
+
+
 def test_empty(spark):
     assert scan(spark, []) == {}
     assert rows(licenses.scan(spark.createDataFrame([("a/b", None)], "path string, text string"))) == [("a/b", None, "none", None, None)]
