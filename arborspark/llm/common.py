@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code works on at a time; bounds a Python worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _WORD_BYTE = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -151,6 +151,28 @@ def word_odds(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, folds:
     return out
 
 
+def loss_and_gradients(theta: list[np.ndarray], x: np.ndarray, at: np.ndarray, bag: np.ndarray, y: np.ndarray, decay: float = 1e-5) -> tuple[float, list[np.ndarray]]:
+    """The bags' mean logistic loss, with a penalty on the first and the last layer's weights, and its gradient for each parameter."""
+    w1, b1, v, u, w, c, b = theta
+    h = np.tanh(x @ w1 + b1)
+    tv, su = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
+    s = (tv * su) @ w
+    e = np.exp(s - np.maximum.reduceat(s, at)[bag])
+    a = e / np.add.reduceat(e, at)[bag]
+    m = np.add.reduceat(a[:, None] * h, at, 0)
+    z = np.clip(m @ c + b, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    loss = float((np.logaddexp(0, z) - y * z).mean() + decay / 2 * ((w1**2).sum() + (c**2).sum()))
+    d = (p - y) / len(y)
+    dm = (d[:, None] * c)[bag]
+    da = (dm * h).sum(1)
+    ds = a * (da - np.add.reduceat(a * da, at)[bag])
+    dg = ds[:, None] * w
+    dv, du = dg * su * (1 - tv**2), dg * tv * su * (1 - su)
+    dz = (a[:, None] * dm + dv @ v.T + du @ u.T) * (1 - h**2)
+    return loss, [x.T @ dz + decay * w1, dz.sum(0), h.T @ dv, h.T @ du, (tv * su).T @ ds, m.T @ d + decay * c, d.sum()]
+
+
 def fit_head(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, rounds: int = 300, seed: int = 1) -> Head | None:
     """Gradient descent (Adam) on the bags' logistic loss."""
     if not 0 < y.sum() < len(y):
@@ -163,23 +185,7 @@ def fit_head(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 16,
     at, bag = first[:-1], np.repeat(np.arange(len(y)), np.diff(first))
     x = x.astype(np.float64)
     for step in range(1, rounds + 1):
-        w1, b1, v, u, w, c, b = theta
-        h = np.tanh(x @ w1 + b1)
-        tv, su = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
-        s = (tv * su) @ w
-        e = np.exp(s - np.maximum.reduceat(s, at)[bag])
-        a = e / np.add.reduceat(e, at)[bag]
-        m = np.add.reduceat(a[:, None] * h, at, 0)
-        p = 1 / (1 + np.exp(-np.clip(m @ c + b, -30, 30)))
-        d = (p - y) / len(y)
-        dm = (d[:, None] * c)[bag]
-        da = (dm * h).sum(1)
-        ds = a * (da - np.add.reduceat(a * da, at)[bag])
-        dg = ds[:, None] * w
-        dv, du = dg * su * (1 - tv**2), dg * tv * su * (1 - su)
-        dz = (a[:, None] * dm + dv @ v.T + du @ u.T) * (1 - h**2)
-        grads = [x.T @ dz + 1e-5 * w1, dz.sum(0), h.T @ dv, h.T @ du, (tv * su).T @ ds, m.T @ d + 1e-5 * c, d.sum()]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(loss_and_gradients(theta, x, at, bag, y)[1]):
             moment[i] = 0.9 * moment[i] + 0.1 * g
             square[i] = 0.999 * square[i] + 0.001 * g * g
             theta[i] = theta[i] - 0.02 * (moment[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)

@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -186,17 +187,42 @@ class ShardReader:
             yield from self._entries(block, 0, end)
 
 
+def pack_tokens(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(doc_id, value): token ids as 32-bit numbers without sign, the lowest byte first; null stays null, and a null token or one beyond 32 bits raises an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for row in batch.column(1):
+                ids = None if row.values is None else row.values.to_numpy(zero_copy_only=False)
+                if ids is not None and len(ids) and not (ids.dtype.kind == "i" and 0 <= ids.min() and ids.max() < 1 << 32):
+                    raise ValueError("a token isn't a number of 32 bits without sign")
+                values.append(None if ids is None else ids.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "value"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, value binary")
+
+
+def unpack_tokens(value: bytes) -> list[int]:
+    """The token ids of a value."""
+    return np.frombuffer(value, "<u4").tolist()
+
+
 def build_shards(docs: DataFrame, id_col: str = "doc_id", value_col: str = "text", block_bytes: int = 32 << 10, max_shard_bytes: int = 32 << 20, bits_per_key: int = 10) -> DataFrame:
     """(shard, first_id, last_id, n_entries, n_blocks, data): the table as shards in the order of ids.
 
     Rows are range-partitioned by id, so shards hold ranges that at most share an id at their ends; adaptive
     execution sizes the partitions, and a partition starts a new shard beyond ``max_shard_bytes``.  The value is a string
-    (kept as UTF-8) or binary column, such as packed token ids.
+    (kept as UTF-8), a binary column, or token ids in an array of whole numbers, which ``pack_tokens`` makes binary.
+    Ids are whole numbers; strings that aren't raise an error.
 
     - A null id is kept under the empty key, first of all; a null value stays apart from an empty one.
     - Rows that repeat an id are all kept, in the order of their values; a long value makes a long block.
     - No rows in, no shards out.  Other columns are ignored, whatever their names.
     """
+    if docs.schema[value_col].dataType.simpleString() in ("array<int>", "array<bigint>"):
+        docs = pack_tokens(docs, id_col, value_col).withColumnsRenamed({"doc_id": id_col, "value": value_col})
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(value_col).cast("binary").alias("value"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "value")
 

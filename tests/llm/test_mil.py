@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,85 @@ def test_held_out_accuracy(spark, labelled):
     assert np.mean([(got[r.doc_id].toxicity >= 0.5) == r.toxic for r in test]) >= 0.85
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(2)
+    sizes = np.array([3, 1, 4, 2, 1])
+    at, bag, y = np.cumsum(sizes) - sizes, np.repeat(np.arange(5), sizes), np.array([1.0, 0, 1, 0, 0])
+    x = rng.normal(size=(sizes.sum(), 4))
+    theta = [rng.normal(size=s) for s in ((4, 3), (3,), (3, 2), (3, 2), (2,), (3,), ())]
+    _, grads = mil.loss_and_gradients(theta, x, at, bag, y, 0.1)
+    for k, (p, g) in enumerate(zip(theta, grads)):
+        for i in np.ndindex(np.shape(p)):
+            up, down = [q.copy() for q in map(np.asarray, theta)], [q.copy() for q in map(np.asarray, theta)]
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            slope = (mil.loss_and_gradients(up, x, at, bag, y, 0.1)[0] - mil.loss_and_gradients(down, x, at, bag, y, 0.1)[0]) / 2e-5
+            assert abs(slope - np.asarray(g)[i]) < 1e-6, (k, i)
+
+
+def test_attention_and_score_against_loops():
+    rng = np.random.default_rng(3)
+    head = mil.Head(*(rng.normal(size=s) for s in ((5, 3), (3,), (3, 2), (3, 2), (2,), (3,), ())))
+    sizes = [2, 1, 5]
+    x = rng.normal(size=(8, 5))
+    p, weights = head.score(x, np.array([0, 2, 3]), np.repeat(np.arange(3), sizes))
+    at = 0
+    for n, size in enumerate(sizes):
+        hidden, raw = [], []
+        for row in x[at : at + size]:
+            h = [math.tanh(sum(row[i] * head.w1[i][k] for i in range(5)) + head.b1[k]) for k in range(3)]
+            gate = [math.tanh(sum(h[i] * head.v[i][k] for i in range(3))) / (1 + math.exp(-sum(h[i] * head.u[i][k] for i in range(3)))) for k in range(2)]
+            hidden.append(h)
+            raw.append(math.exp(sum(gate[k] * head.w[k] for k in range(2))))
+        share = [r / sum(raw) for r in raw]
+        z = sum(s * h[k] * head.c[k] for s, h in zip(share, hidden) for k in range(3)) + head.b
+        assert np.allclose(weights[at : at + size], share) and np.isclose(p[n], 1 / (1 + math.exp(-z)))
+        at += size
+
+
+def plain_passages(text, odds):
+    """All features of a text's passages, word by word."""
+    raw = text.encode()
+    fold = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    spans = [m.span() for m in re.finditer(rb"[^\x00-/:-@\[-`{-\x7f]+", fold)]
+    groups = [spans[i : i + mil.PASSAGE_WORDS] for i in range(0, len(spans), mil.PASSAGE_WORDS)] or [[]]
+    begins = [0, *(g[0][0] for g in groups[1:]), len(raw)]
+    sets = [None, bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b" \t", b"\n\r", b"#$%&*", b"|", b"!", b".,;:?", b"\"'()+-/<=>@[\\]^_`{}~", bytes(range(128, 256))]
+    out = []
+    for g, a, b in zip(groups, begins, begins[1:]):
+        part = raw[a:b]
+        kinds = [sum(c in s for c in part) / max(1, len(part)) for s in sets[1:]]
+        words, n = [fold[i:j] for i, j in g], len(g)
+        row = [1 - sum(kinds) if part else 0, *kinds, math.log1p(n)]
+        if not n:
+            out.append(row + [0] * (mil.WIDTH - len(row)))
+            continue
+        row += [sum(map(len, words)) / n, sum(x == y for x, y in zip(words, words[1:])) / n, len(set(words)) / n]
+
+        def odd(word, k, length):
+            one = np.frombuffer(word, np.uint8)
+            cut = min(len(word), length) if length else len(word)
+            h = mil.span_hashes(one, np.array([0]), np.array([cut]))[0]
+            return odds[int(h >> np.uint64(7 * length)) & (mil.ODDS - 1), k]
+
+        q, t = ([odd(w, k, 0) for w in words] for k in (0, 1))
+        row += [sum(q) / n, sum(t) / n, min(q), max(t)]
+        for length in mil.PREFIXES[1:]:
+            t = [odd(w, 1, length) for w in words]
+            row += [sum(t) / n, max(t), math.log1p(sum(x > mil.MARK for x in t))]
+        out.append(row)
+    return out
+
+
+def test_all_features_against_loops():
+    rng = random.Random(4)
+    texts = ["", "One", " ".join(f"w{rng.randrange(9)}" for _ in range(150)), "¡é! x\n2", "...", "The the THE end | #5 $x & more, isn't it?\tYes!", "\u00fcber " * 70]
+    odds = np.random.default_rng(5).normal(size=(mil.ODDS, 2)).astype(np.float32) * 2
+    x, first = mil.passages(*string_buffers(pa.array(texts)), odds)
+    want = [row for t in texts for row in plain_passages(t, odds)]
+    assert x.shape == (len(want), mil.WIDTH) and np.allclose(x, want, atol=1e-5)
+
+
 def test_gradients():
     """The loss falls along the gradient: two kinds of bags that differ in one passage become separable."""
     rng = np.random.default_rng(0)

@@ -62,6 +62,21 @@ def test_query_holds_the_table(spark, sf_dir, tmp_path):
     assert sum(r.size for r in saved) == sum(p.stat().st_size for p in tmp_path.glob("*.sst")) > 0
 
 
+def test_token_ids(spark):
+    """Encoded documents as shards, looked up and decoded again."""
+    from arborspark.llm import bpe
+
+    df = odd(spark)
+    encoded = bpe.encode(df)
+    shards = sstable.build_shards(encoded, value_col="tokens")
+    found = sstable.lookup(shards, [1, 2, 3, 5, -9]).collect()
+    back = spark.createDataFrame([(r.doc_id, None if r.value is None else sstable.unpack_tokens(bytes(r.value))) for r in found], "doc_id bigint, tokens array<int>")
+    texts = {r.doc_id: r.text for r in df.filter("doc_id in (1, 2, 3, 5, -9)").collect()}
+    assert {r.doc_id: r.text for r in bpe.decode(back).collect()} == texts
+    with pytest.raises(Exception, match="32 bits"):
+        sstable.build_shards(spark.createDataFrame([(1, [-1])], "doc_id bigint, tokens array<int>"), value_col="tokens").collect()
+
+
 def test_prefixes_are_compressed():
     writer, plain = sstable.ShardWriter(), sstable.ShardWriter(restart=1)
     for i in range(1000):
