@@ -1,12 +1,16 @@
 """MinHash near-duplicates with bottom-k sketches from one hash function.
 
 1. Every text becomes the set of its hashed word n-grams; its ``k`` smallest hashes are its sketch.
-2. Inverted lists of retained values generate overlaps.  A pair at the threshold shares at least
-   o = ``min(threshold * size, (threshold - slack) * k)`` values, so among the rarest ``size - o + c`` values of
-   each sketch the two share c: only these are indexed, and fewer overlaps don't make a candidate.  A value that very
-   many documents retain, such as one of a shared passage, is thus indexed only for documents made of little else.
-   Where both sketches are whole sets nothing is lost; where one isn't, about 32 of its 64 values are shared, by chance
-   20 at least.
+2. Candidates come from inverted lists of two kinds.
+   a. Pairs of which one set is whole in its sketch meet in lists of retained values.  A pair at the threshold shares
+      at least o = ``min(threshold * size, (threshold - slack) * k)`` values, so among the rarest ``size - o + c``
+      values of each sketch the two share c: only these are indexed, and fewer overlaps don't make a candidate.  Where
+      both sketches are whole sets nothing is lost; where one isn't, about 32 of its 64 values are shared, by chance
+      20 at least.
+   b. Pairs of larger sets meet in bands: keys of three minima each, every minimum by a hash function of its own.  Two
+      of the bands have to agree.  A pair of similarity s agrees in a band with a chance of s cubed, so texts that
+      have no more in common than a passage or frequent pairs of words hardly meet, however many they are; there are
+      so many bands that a pair just at the threshold is missed with a chance of ``MISS`` at most.
 3. The sketch of the union (the ``k`` smallest of both) estimates the Jaccard similarity and filters.
 4. The exact Jaccard similarity of the full n-gram sets verifies.
 
@@ -32,6 +36,11 @@ from arborspark.llm.common import chunks, cut, discard, mix, release, shared_tab
 
 #: Members from which on a list of texts is never handled by one task.
 LONG_LIST = 4096
+#: Minima in a band, and the greatest chance that fewer than two bands of a pair just at the threshold agree.
+BAND_ROWS, MISS = 3, 2.5e-5
+
+#: Lists of bands have numbers from here on; below are those of values.
+BAND = 1 << 40
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -72,6 +81,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return values, np.searchsorted(rows, np.arange(len(sizes) + 1))
 
 
+def band_count(threshold: float, miss: float = MISS) -> int:
+    """The least number of bands of which a pair at the threshold has two in common, but for a chance of ``miss``."""
+    p, count = threshold**BAND_ROWS, 2
+    while (1 - p) ** count + count * p * (1 - p) ** (count - 1) > miss:
+        count += 1
+    return count
+
+
+def band_keys(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """``count`` 32-bit keys for each of ``rows``, whose sets must not be empty."""
+    if not len(rows):
+        return np.zeros((0, count), np.int32)
+    sizes = bounds[rows + 1] - bounds[rows]
+    ends = np.cumsum(sizes)
+    x = values[np.arange(ends[-1]) + np.repeat(bounds[rows] - (ends - sizes), sizes)].astype(np.uint32)
+    factors = mix(np.arange(1, count * BAND_ROWS + 1, dtype=np.uint64) * _ODD[1]).astype(np.uint32) | np.uint32(1)
+    keys = np.empty((len(rows), count), np.int32)
+    for band in range(count):
+        h = np.zeros(len(rows), np.uint64)
+        for factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            h += np.minimum.reduceat(x * factor, ends - sizes) * _ODD[2]
+            mix(h)
+        keys[:, band] = h.astype(np.uint32).view(np.int32)
+    return keys
+
+
 def _chunked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
     for batch in batches:
         data, offsets = string_buffers(batch.column(1))
@@ -81,8 +116,8 @@ def _chunked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             yield batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a) if batch.num_columns > 2 else None, *shingle_sets(part, local, n)
 
 
-def _sketches(df: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, digest, size, sketch) of (doc_id, lower-cased text, digest)."""
+def _sketches(df: DataFrame, n: int, k: int, count: int, banded: int) -> DataFrame:
+    """(doc_id, digest, size, sketch, bands) of (doc_id, lower-cased text, digest); sets of less than ``banded`` n-grams have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, digest, values, bounds in _chunked(batches, n):
@@ -91,9 +126,11 @@ def _sketches(df: DataFrame, n: int, k: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(kept)])
             take = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], kept)
             sketch = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[take]))
-            yield pa.RecordBatch.from_arrays([ids, digest, pa.array(size.astype(np.int32)), sketch], ["doc_id", "digest", "size", "sketch"])
+            keys = band_keys(values, bounds, np.flatnonzero(size >= banded), count)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size >= banded) * count)]).astype(np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, digest, pa.array(size.astype(np.int32)), sketch, bands], ["doc_id", "digest", "size", "sketch", "bands"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch array<bigint>")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, size int, sketch array<bigint>, bands array<int>")
 
 
 def _shingles(df: DataFrame, n: int) -> DataFrame:
@@ -141,59 +178,69 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.lower("text").alias("lower"))
 
 
-def _pairs(x: DataFrame, y: DataFrame, on: list[str], threshold: float) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], threshold: float, whole: int) -> DataFrame:
     """(a, b, k): texts of a list that are in different components and whose sizes fit; k is the smaller one's class.
 
+    Lists of values are for pairs of which the smaller one's class is below ``whole``.
+
     Of any two texts in different components, one at least is outside the list's largest one (x).  Where both are, the
     pair meets twice in the join and counts once.
     """
     x = x.select(*on, F.col("t").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("size").alias("nx"))
     y = y.select(*on, F.col("t").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("size").alias("ny"), "big")
     fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")
-    met = x.join(y, on).filter("cx <> cy and (cy = big or x < y)").filter(fits)
+    met = x.join(y, on).filter("cx <> cy and (cy = big or x < y)").filter(fits).filter((F.col("v") >= BAND) | (F.least("bx", "by") < whole))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("bx", "by").alias("k"), *on)
 
 
-def _across(member: DataFrame, threshold: float) -> DataFrame:
+def _across(member: DataFrame, threshold: float, whole: int) -> DataFrame:
     """(a, b, k) once for each short list in which they meet; all of it with one shuffle by the list's value."""
     w = W.partitionBy("v")
     member = member.select("v", "t", "b", "size", "c").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("v", "c")))
     member = member.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).withColumn("big", F.max(F.struct("n", "c")).over(w)["c"]).filter("lo <> hi")
-    return _pairs(member.filter("c <> big"), member, ["v"], threshold).select("a", "b", "k")
+    return _pairs(member.filter("c <> big"), member, ["v"], threshold, whole).select("a", "b", "k")
 
 
-def _across_long(member: DataFrame, threshold: float) -> DataFrame:
+def _across_long(member: DataFrame, threshold: float, whole: int) -> DataFrame:
     """The same for long lists, which are cut into one for each size class: list k has the texts of class k and those that are not too large for them."""
     reach = F.explode(F.sequence(F.col("b") - max(1, ceil(log2(1 / threshold) - 1e-9)), F.col("b"))).alias("list")
     member = member.select("v", "t", "b", "size", "c", reach)
     each = member.groupBy("v", "list", "c").agg(F.count(F.lit(1)).alias("n"))
     lists = each.groupBy("v", "list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("n", "c"))["c"].alias("big")).filter("lo <> hi").select("v", "list", "big")
     member = member.join(lists, ["v", "list"])
-    return _pairs(member.filter("c <> big"), member, ["v", "list"], threshold).filter("list = k").select("a", "b", "k")
+    return _pairs(member.filter("c <> big"), member, ["v", "list"], threshold, whole).filter("list = k").select("a", "b", "k")
 
 
 def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5, slack: float = 0.2, common: int = 4) -> DataFrame:
     """(digest, c): the component of every different text of (doc_id, digest, lower); a text without links is one of its own."""
     floor = threshold - slack
-    rows = _sketches(docs.select("doc_id", "lower", "digest"), n, k).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    texts = shared_table(rows.select(F.monotonically_increasing_id().alias("t"), "digest", "doc_id", "size", "sketch"), "sketches")
+    # sets of this class or a higher one have bands, and meet each other in no list of values
+    whole = k.bit_length() - 1
+    rows = _sketches(docs.select("doc_id", "lower", "digest"), n, k, band_count(threshold), 1 << whole).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "sketch", "bands")])
+    texts = shared_table(rows.select(F.monotonically_increasing_id().alias("t"), "digest", "doc_id", "size", "sketch", "bands"), "sketches")
     sketches = texts.filter("size > 0").select("t", "size", "sketch")
 
     # o values at least are shared: of sets that are whole in their sketches, as many as the threshold asks for
     shared_least = lambda m: min(ceil(threshold * m - 1e-9), ceil(floor * k - 1e-9))
     # how many values of their prefixes a pair shares, by the size class of the smaller set
     classes = [max(1, min(common, shared_least(min(1 << b, k)) // 3)) for b in range(k.bit_length())]
-    least = lambda b: F.array(*[F.lit(c) for c in classes])[F.least(b, F.lit(len(classes) - 1))]
+    by_class = lambda counts, b: F.array(*[F.lit(c) for c in counts])[F.least(b, F.lit(whole))]
+    # how many lists of its kind a pair has in common: of bands two
+    least = lambda b: by_class([*classes[:whole], 2], b)
     # 40 bits of a hash are enough for a list: two values in one only make more candidates
-    values = sketches.select("t", F.explode(F.array_distinct(F.transform("sketch", lambda x: x.bitwiseAND((1 << 40) - 1)))).alias("v"))
+    valued = sketches.filter(F.lit(threshold) * F.col("size") < 1 << whole)
+    values = valued.select("t", F.explode(F.array_distinct(F.transform("sketch", lambda x: x.bitwiseAND((1 << 40) - 1)))).alias("v"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per_text = values.join(counts, "v").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     b, m = F.length(F.bin("size")) - 1, F.least("size", F.lit(k))
     # values that no other text retains are the rarest: they stand first and take up places
-    place = m - F.array(*[F.lit(shared_least(i)) for i in range(k + 1)])[m] + least(b) - (m - F.size("values"))
-    placed = per_text.join(sketches.select("t", "size"), "t").withColumn("place", place).filter("place > 0").withColumn("values", F.slice("values", 1, F.col("place")))
-    held = lambda keep: F.transform(F.filter("values", keep), lambda x: x["v"])
-    placed = shared_table(placed.select("t", b.alias("b"), "size", held(lambda x: x["df"] <= LONG_LIST).alias("short"), held(lambda x: x["df"] > LONG_LIST).alias("long")), "index")
+    place = m - F.array(*[F.lit(shared_least(i)) for i in range(k + 1)])[m] + by_class(classes, b) - (m - F.size("values"))
+    placed = per_text.join(valued.select("t", "size"), "t").select("t", "size", F.explode(F.slice("values", 1, F.greatest(place, F.lit(0)))).alias("x")).select("t", "size", "x.v", "x.df")
+    # one shuffle for the bands, which most texts share with no other; a list is counted as it streams by
+    bands = texts.select("t", "size", F.posexplode("bands").alias("band", "key"))
+    bands = bands.select("t", "size", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key") + F.lit((1 << 31) + BAND)).alias("v")).repartition("v")
+    bands = bands.join(bands.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v").select("t", "size", "v", "df")
+    index = shared_table(placed.union(bands).select("t", b.alias("b"), "size", "v", (F.col("df") > LONG_LIST).alias("long")), "index")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
@@ -215,7 +262,7 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
         return links
 
     # short lists fit a task, which finds their aggregates by windows; those of long ones are partial aggregates, joined back
-    short, long = (placed.select("t", "b", F.explode(c).alias("v")) for c in ("short", "long"))
+    short, long = (index.filter(c).filter((F.col("v") >= BAND) | (F.col("b") < whole)).select("t", "b", "v") for c in ("not long", "long"))
     firsts = short.withColumn("first", F.min("t").over(W.partitionBy("v", "b")))
     firsts = firsts.union(long.join(long.groupBy("v", "b").agg(F.min("t").alias("first")), ["v", "b"]).select(firsts.columns))
     spokes = firsts.filter("first < t").groupBy(F.col("first").alias("a"), F.col("t").alias("b"), F.col("b").alias("k")).count()
@@ -225,15 +272,15 @@ def text_groups(docs: DataFrame, n: int = 2, k: int = 64, threshold: float = 0.5
     groups = components(links)
     release(docs.sparkSession)
 
-    members = placed.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), "short", "long")
-    met = _across(members.withColumn("v", F.explode("short")), threshold).union(_across_long(members.withColumn("v", F.explode("long")), threshold))
+    members = index.join(groups.withColumnRenamed("node", "t"), "t", "left").select("t", "b", "size", F.coalesce("component", "t").alias("c"), "v", "long")
+    met = _across(members.filter("not long"), threshold, whole).union(_across_long(members.filter("long"), threshold, whole))
     across = met.groupBy("a", "b", "k").count().filter(F.col("count") >= least(F.col("k"))).select("a", "b")
     across = cut(across.join(star, ["a", "b"], "left_anti"))
     release(docs.sparkSession)
     more = verified(across)
     groups = components(links.union(more)).withColumnRenamed("node", "t").withColumnRenamed("component", "c")
     found = cut(texts.select("t", "digest").join(groups, "t", "left").select("digest", F.coalesce("c", "t").alias("c")))
-    discard(texts, placed)
+    discard(texts, index)
     return found
 
 
@@ -249,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     - Rows that repeat an id count once; the groups of an id's several texts are one group.
     - A text shorter than n words has one n-gram, all of it.  Long texts are used whole.
     - An empty table gives no rows; other columns are ignored, whatever their names.
-    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.001.
+    - With ``slack`` 0.2 and ``k`` 64, a pair just at the threshold is lost with a chance of about 0.001, of which the bands have 0.000025.
     """
     rows = _digests(docs, id_col, text_col)
     groups = text_groups(rows, **options)

@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 from cases import LONG, empty, odd, rows
 
 from arborspark.llm import minhash
@@ -145,6 +146,34 @@ def test_sizes_around_powers_of_two(spark):
     assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
 
 
+def test_frequent_pairs_of_words_make_few_candidates(spark, monkeypatch):
+    """Texts of few different words share many of their pairs: still hardly any two meet, and the linked ones are found."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    docs = [[rng.choice(words) for _ in range(150)] for _ in range(240)]
+    docs += [[w if rng.random() > 0.03 else rng.choice(words) for w in text] for text in docs[:20]]
+    docs = [(i, " ".join(text)) for i, text in enumerate(docs)]
+    met, across = [], minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *args: met.append(across(*args).count()) or across(*args))
+    assert found(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
+    assert sum(met) < len(docs) ** 2 / 2 / 20
+
+
+def test_bands_agree_as_the_sets_do():
+    """In a band a pair agrees with a chance of its similarity cubed; of pairs at the threshold all have two bands in common."""
+    rng = np.random.default_rng(3)
+    count = minhash.band_count(0.5)
+    for shared, similarity in ((200, 0.5), (60, 60 / 540)):
+        sets = []
+        for _ in range(500):
+            common = rng.integers(-(2**63), 2**63 - 1, shared)
+            sets += [np.sort(np.concatenate([common, rng.integers(-(2**63), 2**63 - 1, 300 - shared)])) for _ in range(2)]
+        keys = minhash.band_keys(np.concatenate(sets), np.arange(1001) * 300, np.arange(1000), count)
+        agree = (keys[::2] == keys[1::2]).sum(1)
+        assert abs(agree.mean() - count * similarity**3) < 0.1 + 0.05 * count * similarity**3
+        assert similarity < 0.5 or agree.min() >= 2
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)]
